@@ -60,22 +60,33 @@ def _text_is_string(block: Column) -> Column:
     return F.coalesce(F.schema_of_variant(inner) == "STRING", F.lit(False))
 
 
-def _string_at(body: Column, path: str) -> Column:
-    """Value at a path, only when it is a JSON string."""
-    inner = F.try_variant_get(F.try_parse_json(body), path, "variant")
-    return F.when(F.schema_of_variant(inner) == "STRING", F.get_json_object(body, path))
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``; keeps the plan small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _payload(body: Column) -> Column:
-    return F.when(_is_object(body), body)
+    """The response as a variant when it is a JSON object."""
+    parsed = F.try_parse_json(body)
+    return _let(parsed, lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
+
+
+def _text_at(payload: Column, path: str, only_strings: bool = False) -> Column:
+    """Stripped text at a path; null when missing or blank."""
+    value = F.nullif(strip(F.try_variant_get(payload, path, "string")), F.lit(""))
+    if not only_strings:
+        return value
+    kind = F.schema_of_variant(F.try_variant_get(payload, path, "variant"))
+    return F.when(kind == "STRING", value)
 
 
 def is_quota_error(body: Column) -> Column:
-    payload = _payload(body)
-    error = _string_at(payload, "$.error")
-    values = [_string_at(payload, f"$.error.{k}") for k in ("code", "type", "message")]
-    joined = F.lower(F.concat_ws(" ", *values, error, _string_at(payload, "$.message")))
-    return joined.rlike("|".join(QUOTA_MARKERS))
+    def check(payload: Column) -> Column:
+        paths = ["$.error.code", "$.error.type", "$.error.message", "$.error", "$.message"]
+        joined = F.lower(F.concat_ws(" ", *[_text_at(payload, p, only_strings=True) for p in paths]))
+        return joined.rlike("|".join(QUOTA_MARKERS))
+
+    return _let(_payload(body), check)
 
 
 def is_retriable(status: Column, body: Column) -> Column:
@@ -86,17 +97,17 @@ def is_retriable(status: Column, body: Column) -> Column:
 
 def error_detail(status: Column, body: Column) -> Column:
     """Most readable message a response offers."""
-    payload = _payload(body)
-    blank = F.lit("")
-    get = lambda path: F.nullif(strip(F.get_json_object(payload, path)), blank)
-    message = get("$.error.message")
-    code = F.coalesce(get("$.error.code"), get("$.error.type"))
+
+    def described(payload: Column) -> Column:
+        message = _text_at(payload, "$.error.message")
+        code = F.coalesce(_text_at(payload, "$.error.code"), _text_at(payload, "$.error.type"))
+        return F.coalesce(
+            F.concat(message, F.lit(" ("), code, F.lit(")")), message, code,
+            _text_at(payload, "$.error", only_strings=True), _text_at(payload, "$.message", only_strings=True),
+        )
+
     return F.coalesce(
-        F.when(message.isNotNull() & code.isNotNull(), F.concat(message, F.lit(" ("), code, F.lit(")"))),
-        message,
-        code,
-        F.nullif(strip(_string_at(payload, "$.error")), blank),
-        F.nullif(strip(_string_at(payload, "$.message")), blank),
-        F.nullif(F.substring(strip(body), 1, ERROR_TEXT_CHARS), blank),
+        _let(_payload(body), described),
+        F.nullif(F.substring(strip(body), 1, ERROR_TEXT_CHARS), F.lit("")),
         F.concat(F.lit("HTTP "), status.cast("string")),
     )

@@ -7,6 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from answerloom import constants as K
+from answerloom.functions.responses import extract_json_object
 from answerloom.functions.vectors import dot
 from answerloom.operators.audit import audit_rows, timestamp
 from answerloom.operators.components import connected_components
@@ -151,8 +152,10 @@ def apply_classifications(pairs: DataFrame, responses: DataFrame) -> DataFrame:
     readable response marks its pairs probably_same; unknown indexes are
     ignored and an index without an entry stays unclassified.
     """
-    parsed = responses.select("batch_no", F.from_json("content", CLASSIFICATION).alias("body"))
-    read = parsed.withColumn("_failed", F.col("body").isNull())
+    content = extract_json_object(F.col("content"))
+    read = responses.select(
+        "batch_no", F.from_json(content, CLASSIFICATION).alias("body"), content.isNull().alias("_failed")
+    )
     verdicts = (
         read.filter(~F.col("_failed"))
         .select("batch_no", F.posexplode("body.pairs").alias("_at", "v"))

@@ -201,10 +201,12 @@ def infer_mapping(cells: DataFrame, keys: list[str], skip_blank: bool, max_heade
 
 
 # --- extraction ------------------------------------------------------------
+# ``max_header_rows`` is the largest header_rows among the options; it is read
+# from the table when not given.
 
 
-def _question_rows(cells: DataFrame, keys: list[str], skip_blank: bool) -> DataFrame:
-    max_rows = _max_header_rows(cells)
+def _question_rows(cells: DataFrame, keys: list[str], skip_blank: bool, max_header_rows: int | None) -> DataFrame:
+    max_rows = _max_header_rows(cells) if max_header_rows is None else max_header_rows
     mapping = infer_mapping(cells, keys, skip_blank, max_rows)
     joined = cells.join(mapping, keys)
     if skip_blank:
@@ -258,19 +260,19 @@ def _same_row(rows: DataFrame, confidence: float) -> DataFrame:
     )
 
 
-def extract_grid(cells: DataFrame, keys: list[str] = GRID) -> DataFrame:
+def extract_grid(cells: DataFrame, keys: list[str] = GRID, max_header_rows: int | None = None) -> DataFrame:
     """Questions of delimited files; header rows are counted among rows with text."""
-    rows = _same_row(_question_rows(cells, keys, skip_blank=True), 0.88)
+    rows = _same_row(_question_rows(cells, keys, skip_blank=True, max_header_rows=max_header_rows), 0.88)
     return _items(rows, keys, "csv_row", F.format_string("csv-row-%d-q%d-a%d", "row_idx", "q_col", "a_col"))
 
 
-def extract_tables(cells: DataFrame, keys: list[str] = TABLE) -> DataFrame:
+def extract_tables(cells: DataFrame, keys: list[str] = TABLE, max_header_rows: int | None = None) -> DataFrame:
     """Questions of document tables, with answers in the row below a merged row.
 
     When every filled cell of a row repeats the question and the next row is
     blank, the answer belongs there (first column if that row is too short).
     """
-    rows = _question_rows(cells, keys, skip_blank=False)
+    rows = _question_rows(cells, keys, skip_blank=False, max_header_rows=max_header_rows)
     blanks = cells.filter(X.is_blank_row(F.col("cells"))).select(
         *keys, (F.col("row_idx") - 1).alias("row_idx"), F.size("cells").alias("_next_width")
     )
@@ -294,15 +296,15 @@ def extract_tables(cells: DataFrame, keys: list[str] = TABLE) -> DataFrame:
     return _items(rows, keys, "table_cell", block_id)
 
 
-def extract_sheets(cells: DataFrame, keys: list[str] = SHEET) -> DataFrame:
+def extract_sheets(cells: DataFrame, keys: list[str] = SHEET, max_header_rows: int | None = None) -> DataFrame:
     """Questions per sheet; ``excel_row`` is 1-based."""
-    rows = _same_row(_question_rows(cells, keys, skip_blank=False), 0.88)
+    rows = _same_row(_question_rows(cells, keys, skip_blank=False, max_header_rows=max_header_rows), 0.88)
     block_id = F.format_string("xlsx-%s-r%d-q%d-a%d", "sheet_name", "row_idx", "q_col", "a_col")
     return _items(rows, keys, "excel_cell", block_id).withColumn("excel_row", F.col("question_row_idx") + 1)
 
 
-def extract_page_tables(cells: DataFrame, keys: list[str] = PAGE_TABLE) -> DataFrame:
-    rows = _same_row(_question_rows(cells, keys, skip_blank=False), 0.9)
+def extract_page_tables(cells: DataFrame, keys: list[str] = PAGE_TABLE, max_header_rows: int | None = None) -> DataFrame:
+    rows = _same_row(_question_rows(cells, keys, skip_blank=False, max_header_rows=max_header_rows), 0.9)
     block_id = F.format_string(
         "pdf-page-%d-table-%d-row-%d-q%d-a%d", "page_idx", "table_idx", "row_idx", "q_col", "a_col"
     )
@@ -427,7 +429,8 @@ def profile_report(cells: DataFrame, profiles: list[str] | None = None) -> DataF
     """Extraction of delimited files under every profile, side by side."""
     swept = sweep(cells, profiles)
     keys = ["doc_id", "profile_name"]
-    items = extract_grid(swept, keys)
+    header_rows = max(K.profile_options(p)["header_rows"] for p in profiles or K.PROFILE_OVERRIDES)
+    items = extract_grid(swept, keys, header_rows)
     report = score_parse(parse_stats(keys, rows=swept, table_items=items))
     samples = (
         first_per_group(items, keys, [F.col("question_row_idx")], K.SAMPLE_QUESTIONS, "rank")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from answerloom import constants as K
 from answerloom.functions import text as X
+from answerloom.functions.responses import extract_json_object
 from answerloom.operators.ranking import first_per_group, with_positions
 
 
@@ -117,7 +118,7 @@ def normalize_decisions(responses: DataFrame, items: DataFrame) -> tuple[DataFra
     of the document; confidence is clamped; issues must be an array.  Items are
     (doc_id, question_index, question_text).
     """
-    parsed = responses.select("doc_id", "chunk_no", F.from_json("content", DECISIONS)["decisions"].alias("_d"))
+    parsed = responses.select("doc_id", "chunk_no", F.from_json(extract_json_object(F.col("content")), DECISIONS)["decisions"].alias("_d"))
     count = F.coalesce(F.size("_d"), F.lit(0))
     failed = parsed.groupBy("doc_id").agg(F.count_if(count <= 0).alias("failed_chunks"))
     rows = parsed.select("doc_id", "chunk_no", F.posexplode("_d").alias("at", "_raw"))

@@ -73,7 +73,6 @@ def learn_layouts(fingerprints: DataFrame, runs: DataFrame, now) -> DataFrame:
     A known hash counts up and takes the profile, and hints if given, of its
     last run; a new one is named by its first run.
     """
-    profile = F.struct("parser_profile")
     folded = runs.groupBy("fingerprint_hash").agg(
         F.count(F.lit(1)).alias("_runs"), F.max_by("parser_profile", "seq").alias("_profile"),
         F.max_by("hint_overrides", F.when(X.clean_optional(F.col("hint_overrides")).isNotNull(), F.col("seq"))).alias("_hints"),

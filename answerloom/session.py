@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -57,3 +58,9 @@ def ship_package(spark: SparkSession) -> None:
             target.write(module, module.relative_to(root.parent))
     context.addPyFile(str(archive))
     context._answerloom_shipped = True
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name beside the checkpoints, where every executor can write."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/files-{uuid.uuid4().hex}"
