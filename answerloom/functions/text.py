@@ -14,6 +14,9 @@ from answerloom import constants as K
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 STRIP = rf"\A{WS}+|{WS}+\z"
+BLANKS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 # ``[.)-:]`` is a range from ")" to ":", so digits, commas and dots all count.
 LEADING_MARK = rf"\A{WS}*(?:\(?\p{{Nd}}+\)?[.)-:]?|[A-Za-z][.)-:]?){WS}+"
 
@@ -49,7 +52,7 @@ def _any_match(text: Column, patterns: list[str]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, STRIP, "")
+    return F.trim(text, F.lit(BLANKS))  # looks at the ends only, unlike a pattern
 
 
 def collapse(text: Column) -> Column:
@@ -59,7 +62,7 @@ def collapse(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Case folding: lower case, sharp s to ss, final sigma to sigma."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), "ß", "ss"), "ς", "σ")
+    return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
 def _or_empty(text: Column) -> Column:
@@ -70,16 +73,16 @@ def clean_question(text: Column) -> Column:
     """Drop one leading number or single letter, collapse blanks.
 
     A bare leading letter or number goes too ("A policy exists" becomes
-    "policy exists").  If nothing is left the stripped input is kept.
+    "policy exists").  Something always follows the blanks after the mark in a
+    stripped text, so the result is empty only for blank input.
     """
-    stripped = strip(_or_empty(text))
-    cleaned = collapse(F.regexp_replace(stripped, LEADING_MARK, ""))
-    return F.when(cleaned == "", stripped).otherwise(cleaned)
+    return collapse(F.regexp_replace(strip(_or_empty(text)), LEADING_MARK, ""))
 
 
 def question_key(text: Column) -> Column:
     """Grouping key: cleaned wording without trailing colons, case-folded."""
-    return fold(collapse(F.regexp_replace(clean_question(text), r":+\z", "")))
+    # blanks are collapsed already, so only the ends need another look
+    return fold(strip(F.rtrim(clean_question(text), F.lit(":"))))
 
 
 def row_text_key(text: Column) -> Column:

@@ -26,6 +26,7 @@ from answerloom.operators.ranking import first_per_group
 from answerloom.session import durable
 
 MAX_PIVOTS = 256
+ROWS_PER_PIVOT = 2048
 BLOCK_BYTES = 16 << 20
 BROADCAST_BYTES = 64 << 20
 CHUNK_ROWS = 1024
@@ -38,11 +39,12 @@ def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     return flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
 
 
-def _pivots(vectors: DataFrame, rows: int) -> np.ndarray:
-    """A bounded, repeatable sample of the vectors."""
-    wanted = max(1, min(MAX_PIVOTS, int(math.sqrt(rows) / 2)))
+def _pivots(vectors: DataFrame, rows: int, threshold: float) -> tuple[list[int], np.ndarray]:
+    """A bounded, repeatable sample of the vectors; one is enough where no pair
+    of cells could be skipped."""
+    wanted = 1 if threshold <= 0 else max(1, min(MAX_PIVOTS, rows // ROWS_PER_PIVOT))
     picked = vectors.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
-    return np.array([r["vec"] for r in picked], dtype="f8")
+    return [r["id"] for r in picked], np.array([r["vec"] for r in picked], dtype="f8")
 
 
 def _assign(vectors: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
@@ -279,7 +281,7 @@ def _self_join(vectors: DataFrame, threshold: float, forest: bool) -> DataFrame:
         return _empty(vectors)
     spark = vectors.sparkSession
     parallelism = spark.sparkContext.defaultParallelism
-    pivots = _pivots(vectors, rows)
+    pivot_ids, pivots = _pivots(vectors, rows, threshold)
     assigned = _assign(vectors, pivots, threshold)
     blocks, cells = _blocks(assigned, _block_rows(rows, _dims(pivots), parallelism))
     pairs = _block_pairs(spark, cells, cells, pivots, threshold, same=True, forest=forest)
@@ -288,13 +290,7 @@ def _self_join(vectors: DataFrame, threshold: float, forest: bool) -> DataFrame:
     if not forest:
         return found
     # every core row is linked to its pivot, which is a row of the same table
-    anchors = (
-        vectors.orderBy(F.xxhash64("id"), "id")
-        .limit(len(pivots))
-        .select(F.struct("id", "vec").alias("row"))
-        .collect()
-    )
-    ids = spark.createDataFrame([(i, r["row"]["id"]) for i, r in enumerate(anchors)], "cell int, pivot long")
+    ids = spark.createDataFrame(list(enumerate(pivot_ids)), "cell int, pivot long")
     stars = (
         assigned.filter("core")
         .join(F.broadcast(ids), "cell")
@@ -352,7 +348,7 @@ def _two_sides(left: DataFrame, right: DataFrame, threshold: float, make_task) -
         return _empty(left)
     spark = left.sparkSession
     parallelism = spark.sparkContext.defaultParallelism
-    pivots = _pivots(right, right_rows)
+    _, pivots = _pivots(right, right_rows, threshold)
     dims = _dims(pivots)
     # spread the work over left blocks first: each holds its share of tasks
     left_blocks, left_cells = _blocks(

@@ -10,6 +10,7 @@ from answerloom import constants as K
 from answerloom.functions.vectors import hashed_embedding
 from answerloom.operators import inference, matching
 from answerloom.operators.ranking import with_positions
+from answerloom.session import durable
 
 ITEM_FIELDS = {
     "answer_text": "string", "confidence": "double", "matched_qa_id": "long", "matched_source": "string",
@@ -28,7 +29,8 @@ class Filled:
 
 def number_items(items: DataFrame, order: str = "question_row_idx") -> DataFrame:
     """Extracted items with a 0-based ``question_index`` per document and open answers."""
-    numbered = with_positions(items, ["doc_id"], order).withColumn("question_index", F.col("position") - 1).drop("position")
+    # extraction is the costly part and numbering reads it twice
+    numbered = with_positions(durable(items), ["doc_id"], order).withColumn("question_index", F.col("position") - 1).drop("position")
     missing = {n: F.lit(None).cast(t) for n, t in ITEM_FIELDS.items() if n not in numbered.columns}
     return numbered.withColumns(missing)
 
@@ -49,7 +51,8 @@ def fill_pipeline(
         items = matching.prefill(items, template_answers, template_id)
     decisions = None
     if not agent_mode:
-        matched = matching.match_cascade(items, kb, flags, threshold, embed)
+        # all four tables come from the match, so it is computed once
+        matched = durable(matching.match_cascade(items, kb, flags, threshold, embed))
         scored = matched.filter(F.col("similarity_score").isNotNull()).select(
             "doc_id", "question_index", F.col("question_text").alias("extracted_question"), F.lit(None).cast("string").alias("context"),
             "similarity_score", "best_match_question",
@@ -73,7 +76,7 @@ def fill_pipeline(
         if responses is not None:
             decisions, _ = inference.normalize_decisions(responses, filled)
             filled = inference.apply_decisions(filled, decisions)
-        filled = matching.propagate(filled).drop("canonical_index")
+        filled = durable(matching.propagate(filled).drop("canonical_index"))
         nothing = filled.limit(0).select(
             "doc_id", "question_index", F.col("question_text").alias("extracted_question"), F.lit(None).cast("string").alias("context"),
             F.lit(None).cast("double").alias("similarity_score"), F.lit(None).cast("string").alias("best_match_question"),

@@ -194,12 +194,28 @@ def render(name_or_text: str, folder: str | None = None) -> str:
     return _fill(text, words)
 
 
+TEXT_VIEWS = ["lines", "flags", "kb_docs", "kb_lines", "doc_jobs"]
+
+
+def _too_few_splits(spark: SparkSession, folder: str, name: str) -> bool:
+    """A scan with fewer splits than cores, as of one small file."""
+    scan = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return scan.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.sql(render(name, folder))
+    """A stand-in; long texts of a table in very few splits are spread over the cores."""
+    rows = spark.sql(render(name, folder))
+    return _spread(rows) if name in TEXT_VIEWS and _too_few_splits(spark, folder, "documents") else rows
 
 
 def raw(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return _spread(rows) if name == "documents" and _too_few_splits(spark, folder, name) else rows
 
 
 def with_vectors(kb: DataFrame, text: str = "question") -> DataFrame:

@@ -305,9 +305,9 @@ def update_template_answers(spark, d):
     return TP.update_template_answers(table(spark, d, "template_answers"), _template_changes(spark, d), NOW)[0].select("id", "answer_text")
 
 
-@query("delete_templates", "SELECT id FROM ({template_answers}) t WHERE template_id NOT IN (SELECT s_suppkey FROM supplier)")
+@query("delete_templates", "SELECT id FROM ({template_answers}) t WHERE template_id NOT IN (SELECT n_nationkey FROM nation)")
 def delete_templates(spark, d):
-    gone = _template_changes(spark, d).select("id")
+    gone = raw(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
     return TP.delete_templates(table(spark, d, "templates"), table(spark, d, "template_answers"), gone, NOW)[1].select("id")
 
 
