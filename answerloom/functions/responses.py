@@ -17,6 +17,11 @@ QUOTA_MARKERS = [
 ERROR_TEXT_CHARS = 300
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``; keeps the plan small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _json_type(json: Column) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_parse_json(json)), F.lit(""))
 
@@ -36,8 +41,8 @@ def extract_json_object(content: Column) -> Column:
         text.startswith("```"),
         F.regexp_replace(F.regexp_replace(text, rf"\A```(?:json)?{WS}*", ""), rf"{WS}*```\z", ""),
     ).otherwise(text)
-    braced = F.regexp_extract(unfenced, r"(?s)(\{.*\})", 1)
-    return F.when(_is_object(unfenced), unfenced).when(_is_object(braced), braced)
+    braces = lambda t: _let(F.regexp_extract(t, r"(?s)(\{.*\})", 1), lambda b: F.when(_is_object(b), b))
+    return _let(unfenced, lambda t: F.when(_is_object(t), t).otherwise(braces(t)))
 
 
 def content_to_text(content: Column) -> Column:
@@ -60,11 +65,6 @@ def _text_is_string(block: Column) -> Column:
     return F.coalesce(F.schema_of_variant(inner) == "STRING", F.lit(False))
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``; keeps the plan small."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _payload(body: Column) -> Column:
     """The response as a variant when it is a JSON object."""
     parsed = F.try_parse_json(body)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from answerloom import constants as K
 from answerloom.functions import text as X
 from answerloom.operators.ranking import first_per_group
+from answerloom.session import durable
 
 GRID = ["doc_id"]
 TABLE = ["doc_id", "table_idx"]
@@ -430,7 +431,7 @@ def profile_report(cells: DataFrame, profiles: list[str] | None = None) -> DataF
     swept = sweep(cells, profiles)
     keys = ["doc_id", "profile_name"]
     header_rows = max(K.profile_options(p)["header_rows"] for p in profiles or K.PROFILE_OVERRIDES)
-    items = extract_grid(swept, keys, header_rows)
+    items = durable(extract_grid(swept, keys, header_rows))  # counted and sampled
     report = score_parse(parse_stats(keys, rows=swept, table_items=items))
     samples = (
         first_per_group(items, keys, [F.col("question_row_idx")], K.SAMPLE_QUESTIONS, "rank")

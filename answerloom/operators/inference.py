@@ -104,6 +104,7 @@ def classify_requests(pairs: DataFrame, kb: DataFrame, size: int = K.PAIRS_PER_R
 
 
 DECISIONS = "struct<decisions:array<string>>"
+DECISION = "struct<id:string,action:string,answer:string,confidence:string,reason:string,issues:string>"
 
 
 def _decision_index(decision_id: Column) -> Column:
@@ -122,15 +123,16 @@ def normalize_decisions(responses: DataFrame, items: DataFrame) -> tuple[DataFra
     count = F.coalesce(F.size("_d"), F.lit(0))
     failed = parsed.groupBy("doc_id").agg(F.count_if(count <= 0).alias("failed_chunks"))
     rows = parsed.select("doc_id", "chunk_no", F.posexplode("_d").alias("at", "_raw"))
-    get = lambda name: F.get_json_object("_raw", f"$.{name}")
-    wanted = F.lower(X.strip(F.coalesce(get("action"), F.lit("flag"))))
-    answer = X.strip(F.coalesce(get("answer"), F.lit("")))
+    # one parse; nested values come as their JSON text, other elements as nulls
+    fields = rows.select("doc_id", "chunk_no", "at", F.from_json("_raw", DECISION).alias("f")).select("doc_id", "chunk_no", "at", "f.*")
+    wanted = F.lower(X.strip(F.coalesce("action", F.lit("flag"))))
+    answer = X.strip(F.coalesce("answer", F.lit("")))
     acts = F.when((wanted == "answer") & (answer != ""), "answer").otherwise("flag")
-    shaped = rows.filter(F.schema_of_variant(F.try_parse_json("_raw")).startswith("OBJECT")).select(
-        "doc_id", "chunk_no", "at", get("id").alias("id"), _decision_index(get("id")).alias("question_index"),
-        acts.alias("action"), F.when(acts == "answer", answer).alias("answer"), X.coerce_confidence(get("confidence")).alias("confidence"),
-        F.coalesce(get("reason"), F.lit("")).alias("reason"),
-        F.coalesce(F.from_json(get("issues"), "array<string>"), F.array().cast("array<string>")).alias("issues"),
+    shaped = fields.select(
+        "doc_id", "chunk_no", "at", "id", _decision_index(F.col("id")).alias("question_index"),
+        acts.alias("action"), F.when(acts == "answer", answer).alias("answer"), X.coerce_confidence(F.col("confidence")).alias("confidence"),
+        F.coalesce("reason", F.lit("")).alias("reason"),
+        F.coalesce(F.from_json("issues", "array<string>"), F.array().cast("array<string>")).alias("issues"),
     )
     decisions = shaped.join(items.select("doc_id", "question_index", F.col("question_text").alias("question")), ["doc_id", "question_index"])
     return decisions, failed

@@ -47,6 +47,14 @@ def _pivots(vectors: DataFrame, rows: int, threshold: float) -> tuple[list[int],
     return [r["id"] for r in picked], np.array([r["vec"] for r in picked], dtype="f8")
 
 
+def _one_cell(vectors: DataFrame) -> DataFrame:
+    """A single cell for comparisons in which no pair can be skipped."""
+    return vectors.select(
+        "id", "vec", F.lit(0).alias("cell"), F.lit(math.pi).alias("angle"), F.lit(1.0).alias("norm"),
+        F.lit(0.0).alias("pivot_similarity"), F.lit(False).alias("core"),
+    )
+
+
 def _assign(vectors: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
     """Nearest pivot, angle to it and norm; a core row is similar to its pivot."""
     lengths = np.linalg.norm(pivots, axis=1)
@@ -351,12 +359,9 @@ def _two_sides(left: DataFrame, right: DataFrame, threshold: float, make_task) -
     _, pivots = _pivots(right, right_rows, threshold)
     dims = _dims(pivots)
     # spread the work over left blocks first: each holds its share of tasks
-    left_blocks, left_cells = _blocks(
-        _assign(left, pivots, 2.0), _block_rows(left_rows, dims, parallelism)
-    )
-    right_blocks, right_cells = _blocks(
-        _assign(right, pivots, 2.0), _block_rows(right_rows, dims, 1)
-    )
+    placed = lambda side: _one_cell(side) if threshold <= 0 else _assign(side, pivots, 2.0)
+    left_blocks, left_cells = _blocks(placed(left), _block_rows(left_rows, dims, parallelism))
+    right_blocks, right_cells = _blocks(placed(right), _block_rows(right_rows, dims, 1))
     pairs = _block_pairs(spark, left_cells, right_cells, pivots, threshold, same=False, forest=False)
     small = (left_rows + right_rows) * dims * 4 <= BROADCAST_BYTES
     return _compare(pairs, left_blocks, right_blocks, make_task, small, 4 * parallelism)

@@ -15,10 +15,16 @@ from answerloom.operators.ranking import with_positions
 from answerloom.plans import checks as C
 from answerloom.plans.registry import query
 from answerloom.plans.standins import raw, table
+from answerloom.session import durable
+
+
+def stored_cells(spark, d) -> DataFrame:
+    """The forms as a stored cell table, which is what extraction reads several times."""
+    return durable(table(spark, d, "cells"))
 
 
 def cells(spark, d, **options) -> DataFrame:
-    return E.with_options(table(spark, d, "cells"), **options)
+    return E.with_options(stored_cells(spark, d), **options)
 
 
 # --- SQL side --------------------------------------------------------------
@@ -209,7 +215,7 @@ SWEEP = f"""WITH {BASE}, """ + ", ".join(f"{mapping_sql(p, tag=f'_{i}')}, {items
 
 @query("profile_report", SWEEP + " SELECT doc_id, profile_name, question_count, sample, confidence, fallback_recommended FROM report")
 def profile_report(spark, d):
-    return E.profile_report(table(spark, d, "cells")).select(
+    return E.profile_report(stored_cells(spark, d)).select(
         "doc_id", "profile_name", "question_count", F.array_join("sample_questions", "␟").alias("sample"), "confidence", "fallback_recommended"
     )
 
@@ -228,7 +234,7 @@ def profile_report(spark, d):
       CASE WHEN question_count = 0 THEN 3 ELSE 1 END AS n_hints FROM named""",
 )
 def recommend_profile(spark, d):
-    return E.recommend_profile(E.profile_report(table(spark, d, "cells"))).select(
+    return E.recommend_profile(E.profile_report(stored_cells(spark, d))).select(
         "doc_id", "recommended_profile", "reason", F.size("hints").alias("n_hints")
     )
 
