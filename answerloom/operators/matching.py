@@ -13,6 +13,7 @@ from answerloom.functions import text as X
 from answerloom.functions.vectors import hashed_embedding
 from answerloom.operators.ranking import first_per_group
 from answerloom.operators.similarity import top_matches
+from answerloom.session import durable
 
 
 def live(kb: DataFrame, with_embedding: bool = False) -> DataFrame:
@@ -21,22 +22,18 @@ def live(kb: DataFrame, with_embedding: bool = False) -> DataFrame:
     return rows.filter(F.col("embedding").isNotNull()) if with_embedding else rows
 
 
-def _distinct_wordings(questions: DataFrame, embed) -> DataFrame:
-    return (
-        questions.select("question_text").distinct()
-        .filter(F.col("question_text").isNotNull())
-        .select(F.xxhash64("question_text").alias("id"), "question_text", embed("question_text").alias("embedding"))
-    )
-
-
 def top_by_wording(questions: DataFrame, kb: DataFrame, k: int, cutoff: float, embed=hashed_embedding) -> DataFrame:
-    """(question_text, kb_id, similarity, rank) for each distinct wording."""
+    """(question_text, kb_id, similarity, rank) for each distinct wording.
+
+    Wordings are stored with their ids before use, so an id stays with its
+    wording when a task is repeated.
+    """
+    number = lambda df: durable(df.withColumn("id", F.monotonically_increasing_id()))
     if "embedding" in questions.columns:
-        wordings = questions.groupBy("question_text").agg(F.first("embedding").alias("embedding")).select(
-            F.xxhash64("question_text").alias("id"), "question_text", "embedding"
-        )
+        wordings = number(questions.groupBy("question_text").agg(F.first("embedding").alias("embedding")))
     else:
-        wordings = _distinct_wordings(questions, embed)
+        texts = number(questions.select("question_text").filter(F.col("question_text").isNotNull()).distinct())
+        wordings = texts.withColumn("embedding", embed("question_text"))
     found = top_matches(wordings.select("id", "embedding"), live(kb, True).select("id", "embedding"), k, cutoff)
     return found.join(wordings.select(F.col("id").alias("a"), "question_text"), "a").select(
         "question_text", F.col("b").alias("kb_id"), "similarity", "rank"

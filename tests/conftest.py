@@ -13,8 +13,8 @@ from answerloom.session import build_session, ship_package  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "answerloom-tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"},
+        "answerloom-tests", "local[4]",
+        **{"spark.sql.shuffle.partitions": "3", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"},
     )
     session.sparkContext.setLogLevel("ERROR")
     ship_package(session)
