@@ -535,15 +535,18 @@ def recommend_profile(report: DataFrame, file_type: str = "csv") -> DataFrame:
 
 
 def document_context(
-    lines: DataFrame, items: DataFrame, max_lines: int = K.CONTEXT_ROWS, max_chars: int = K.CONTEXT_CHARS
+    lines: DataFrame, items: DataFrame, max_lines: int | None = K.CONTEXT_ROWS, max_chars: int = K.CONTEXT_CHARS
 ) -> DataFrame:
     """(doc_id, context): opening lines and an extracted-question preview.
 
     ``lines`` is (doc_id, line_idx, line): paragraphs, or rows with their
     filled cells joined by " | ".  The first ``max_lines`` positions count, of
-    which those with text are kept.  ``items`` is (doc_id, position, question_text).
+    which those with text are kept; None takes all lines, as cut beforehand by
+    :func:`document_opening` or :func:`page_opening`.  ``items`` is (doc_id,
+    position, question_text).
     """
-    opening = lines.filter(F.col("line_idx") < max_lines).select(
+    first = lines if max_lines is None else lines.filter(F.col("line_idx") < max_lines)
+    opening = first.select(
         "doc_id", F.lit(0).alias("part"), F.col("line_idx").cast("long").alias("at"), X.strip(F.col("line")).alias("line")
     ).filter("line <> ''")
     asked = first_per_group(items, ["doc_id"], [F.col("position")], K.CONTEXT_PREVIEW, "_rank")
@@ -565,6 +568,22 @@ def document_context(
     return whole.select("doc_id", F.when(F.char_length("whole") > limit, cut).otherwise(F.col("whole")).alias("context"))
 
 
+def document_opening(paragraphs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Context lines of a text document: its first paragraphs, then the first rows
+    of its first tables (cells with table_idx)."""
+    text = paragraphs.filter(F.col("line_idx") < K.CONTEXT_ROWS).select("doc_id", F.col("line_idx").cast("long").alias("line_idx"), "line")
+    near = cells.filter((F.col("table_idx") < K.CONTEXT_TABLES) & (F.col("row_idx") < K.CONTEXT_TABLE_ROWS))
+    after = K.CONTEXT_ROWS + F.col("table_idx") * K.CONTEXT_TABLE_ROWS + F.col("row_idx")
+    rows = table_lines(near.withColumn("row_idx", after.cast("long")))
+    return text.unionByName(rows)
+
+
+def page_opening(lines: DataFrame) -> DataFrame:
+    """Context lines of a paged document: those of its first pages."""
+    at = F.col("page_idx").cast("long") * 1_000_000_000 + F.col("line_idx")
+    return lines.filter(F.col("page_idx") < K.CONTEXT_PAGES).select("doc_id", at.alias("line_idx"), "line")
+
+
 def table_lines(cells: DataFrame) -> DataFrame:
     """Rows of a cell table as context lines: filled cells joined by " | "."""
     filled = F.filter(F.transform("cells", X.strip), lambda c: c != "")

@@ -290,10 +290,6 @@ def export_kb(spark, d):
     return KB.export_kb(table(spark, d, "kb_docs"))
 
 
-GROUPED = f"""keyed AS (SELECT f.*, {C.key('extracted_question')} AS k FROM ({{flags}}) f),
-    newest AS (SELECT *, bool_and(resolved) OVER (PARTITION BY k) AS all_resolved, row_number() OVER (PARTITION BY k ORDER BY created_at DESC, id DESC) AS rn FROM keyed)"""
-
-
 @query(
     "export_flags",
     f"""WITH keyed AS (SELECT f.*, {C.key('extracted_question')} AS k FROM ({{flags}}) f WHERE resolved),

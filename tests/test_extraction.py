@@ -117,6 +117,17 @@ def test_document_context_is_cut(spark):
     assert cut == "\n".join(whole)[:500] + "\n...[truncated]"
 
 
+def test_context_of_text_and_paged_documents(spark):
+    paragraphs = spark.createDataFrame([(0, i, f"p{i}") for i in range(130)], "doc_id int, line_idx int, line string")
+    cells = spark.createDataFrame([(0, t, r, [f"t{t}", "", f"r{r}"]) for t in range(11) for r in range(41)], "doc_id int, table_idx int, row_idx long, cells array<string>")
+    items = spark.createDataFrame([(0, 0, "Why so?")], "doc_id int, position long, question_text string")
+    whole = E.document_context(E.document_opening(paragraphs, cells), items, None, 1_000_000).head().context.split("\n")
+    assert len(whole) == 120 + 400 + 2 and whole[119:121] == ["p119", "t0 | r0"] and whole[-3:] == ["t9 | r39", "Extracted question preview:", "- Why so?"]
+    pages = spark.createDataFrame([(0, p, i, f"{p}-{i}") for p in range(10) for i in range(3)], "doc_id int, page_idx int, line_idx int, line string")
+    paged = E.document_context(E.page_opening(pages), items, None).head().context.split("\n")
+    assert len(paged) == 8 * 3 + 2 and paged[:4] == ["0-0", "0-1", "0-2", "1-0"]
+
+
 def test_grid_files_round_trip(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿Question;Response\nDo you encrypt it "daily"?;\n\n Describe the process ; yes\n', encoding="utf-8")
     (tmp_path / "b.csv").write_text("Question,Answer\nIs it safe today?,\n", encoding="utf-8")
