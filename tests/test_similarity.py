@@ -78,7 +78,12 @@ def test_cluster_edges_connect_what_all_pairs_connect(spark, threshold):
     a, b = np.nonzero(np.triu(sims >= threshold, 1))
     want = roots_of(300, zip(a, b))
     edges = S.cluster_edges(frame(spark, m), threshold)
-    assert edges.count() < 4 * 300
+    # only similar pairs, and where most rows are alike far fewer than all of them;
+    # with blocks this small the bound per pair of blocks is loose
+    found = {(r.a, r.b) for r in edges.collect()}
+    assert found <= set(zip(a.tolist(), b.tolist()))
+    if threshold == 0.6:
+        assert len(found) < len(a) / 4
     got = {r.id: r.root for r in connected_components(edges).collect()}
     assert got == {i: r for i, r in enumerate(want) if want.count(r) > 1}
 
