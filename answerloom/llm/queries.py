@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from answerloom.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, packing, toxicity, url_filter
+from answerloom.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, near_dedup, packing, toxicity, url_filter
 from answerloom.llm.common import remainder, table
 from answerloom.llm.registry import query
 
@@ -150,6 +150,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).withColumn("held_out", remainder("doc_id", 5) == 0).select("doc_id", "held_out", "lang_pred", "score", "n_words")
 
 
+@query("op9_near_dedup")
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
