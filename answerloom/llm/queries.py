@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from answerloom.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, near_dedup, packing, toxicity, url_filter
-from answerloom.llm.common import remainder, table
+from answerloom.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, lm_score, near_dedup, packing, toxicity, url_filter
+from answerloom.llm.common import remainder, stored, table
 from answerloom.llm.registry import query
 
 OP1_SQL = r"""
@@ -113,6 +113,17 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("id").alias("page_id"), url_filter.host(F.col("url")).alias("host"), "fetched", "verdict", "list_name", "matched_key", "valid_from", "valid_until")
 
 
+@query("op4_lm_score")
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    training = docs.filter(remainder("doc_id", 7) != 2)
+    counts = stored(lm_score.word_counts(training))
+    model = lm_score.learn(training, counts)
+    return lm_score.score(docs, counts, model).select(
+        "doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 @query("op5_decontaminate")
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
