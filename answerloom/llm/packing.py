@@ -16,6 +16,8 @@ of their own.  Other columns are ignored.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +26,7 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyspark
+import regex
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from answerloom.llm.common import WordTable, stored, text_chunks
@@ -36,14 +39,23 @@ STEP = 16
 GAP = 1e-3
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
+# Fixed values of the vocabulary's file: its pattern of word parts, and the letters that stand for bytes.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
+
+#: Letters that Python and the tokenizer surely treat alike end before this.
+BEYOND = re.compile(r"[^\x00-\u024f]")
+
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
 class Encoder:
     """Token ids of whole texts, equal to the tokenizer's own, with a memo of words.
 
-    The tokenizer splits at white space first, so a text's ids are its words' ids
-    one after the other.  Texts for which that or Python's lower case may differ
+    The tokenizer splits at white space and then into parts, so a text's ids are
+    its parts' ids one after the other; its model gives each new part's ids.  Words
+    with letters beyond Latin go through the whole tokenizer.  Texts for which that or Python's lower case may differ
     (special strings, control characters, letters with a context-dependent lower
     case) are given to the tokenizer whole.
     """
@@ -52,11 +64,29 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.memo = WordTable(self._describe, np.uint32)
+        self.memo = WordTable(self._describe, np.uint32, 600_000)
+        self.parts: dict[str, list[int]] = {}
 
     def _describe(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.whole.encode_batch(words, add_special_tokens=False)]
-        return np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((i for row in ids for i in row), np.uint32)
+        if len(self.parts) > 300_000:
+            self.parts.clear()
+        known, split, out, lengths = self.parts, PARTS.findall, [], []
+        for word in words:
+            before = len(out)
+            if not word.isascii():
+                if BEYOND.search(word):
+                    out += self.whole.encode(word, add_special_tokens=False).ids
+                    lengths.append(len(out) - before)
+                    continue
+                word = unicodedata.normalize("NFC", word)
+            for part in split(word.lower()):
+                ids = known.get(part)
+                if ids is None:
+                    raw = part if part.isascii() and part.isprintable() else part.encode("utf-8", "replace").decode("latin-1").translate(BYTE_LETTERS)
+                    ids = known[part] = [t.id for t in self.whole.model.tokenize(raw)]
+                out += ids
+            lengths.append(len(out) - before)
+        return np.array(lengths, np.int64), np.array(out, np.uint32)
 
     def _plain(self, text: str) -> bool:
         return "<|" not in text and (text.isascii() or "İ" not in text and "Σ" not in text) and not any(c in text for c in "\x1c\x1d\x1e\x1f")
@@ -66,7 +96,7 @@ class Encoder:
         words, counts, apart = [], [], {}
         for n, text in enumerate(texts):
             if self._plain(text):
-                own = text.lower().split()
+                own = text.split() if BEYOND.search(text) else text.lower().split()
                 words += own
                 counts.append(len(own))
             else:
