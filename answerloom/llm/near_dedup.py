@@ -13,9 +13,10 @@ Two registers agree with probability equal to the weighted Jaccard similarity.
 Documents with equal word sequences are folded into the lowest id.  Signatures
 are banded.  In each bucket the member with the most copies (then the lowest id)
 is compared with all others, so a bucket costs as many comparisons as it has
-members.  Buckets whose members are not all linked yet are tried again with
-more and more of their members as centres until every unlinked pair has been
-compared.  Every comparison is the exact multiset similarity of the texts.
+members.  Members outside a bucket's largest component then meet more and more
+members of that component.  Whatever components still share a bucket are
+compared completely, large ones in blocks of members by one sparse product of
+their shingles.  Every comparison is the exact multiset similarity of the texts.
 Components of pairs at or above ``LEAST`` are the classes.
 
 A document without words is similar to nothing.  Rows that repeat an id are
@@ -39,12 +40,14 @@ from answerloom.operators.ranking import first_per_group
 
 SHINGLE = 5
 LEAST = 0.8
-BANDS, BAND_ROWS = 32, 4
+BANDS, BAND_ROWS = 42, 6
 REGISTERS = BANDS * BAND_ROWS
 #: Members of one centre that are compared in one run of rows.
 RUN = 256
-#: Centres of a bucket grow by this factor from round to round.
-GROWTH = 8
+#: Centres of a bucket's largest component that the bucket's other members meet, round by round.
+CENTRES = (8, 64)
+#: Two components with more pairs of members than this meet in blocks.
+BLOCK_PAIRS = 64
 
 _WORD = re.compile(r"[^\W_]+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -204,6 +207,63 @@ def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("a", "b", "text").mapInArrow(compare, "a long, b long, similarity double")
 
 
+def block_links(meeting: DataFrame, whole: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, similarity) of the most similar pair of each block of two components.
+
+    ``meeting`` has the components (root, size, other, other_size).  One link is
+    enough to join them, and no block holds more than about RUN members a side.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / RUN).cast("long")
+    cells = meeting.select("root", "other", blocks("size").alias("n"), blocks("other_size").alias("m")).select(
+        "root", "other", "n", "m", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")
+    ).select("root", "other", "n", "m", "i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
+    members = whole.select("id", F.col("root").alias("_root"))
+    in_block = lambda n, k: F.pmod(F.xxhash64("id"), F.col(n)) == F.col(k)
+    left = cells.join(members, (F.col("root") == F.col("_root")) & in_block("n", "i")).select("root", "other", "i", "j", F.lit(0).alias("side"), "id")
+    right = cells.join(members, (F.col("other") == F.col("_root")) & in_block("m", "j")).select("root", "other", "i", "j", F.lit(1).alias("side"), "id")
+
+    def best(block: pa.Table) -> pa.Table:
+        side, ids = block.column("side").to_numpy(), block.column("id").to_numpy()
+        text, shingle, weight = bags(*word_hashes(block.column("text").to_pylist()))
+        total = np.bincount(text, weight, len(ids))
+        # one column for each unit of a shingle that both sides have
+        unit = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+        text, column = np.repeat(text, weight), np.repeat(shingle, weight) + _GOLDEN * unit.astype(np.uint64)
+        shared = np.intersect1d(column[side[text] == 0], column[side[text] == 1])
+        at = np.searchsorted(shared, column)
+        use = at < len(shared)
+        use[use] = shared[at[use]] == column[use]
+        text, at = text[use], at[use]
+        rows = np.cumsum(side == 0) - 1, np.cumsum(side == 1) - 1
+        count = int((side == 0).sum()), int((side == 1).sum())
+        common = np.zeros(count, np.float32)
+        for low in range(0, len(shared), 4096):
+            now = (at >= low) & (at < low + 4096)
+            parts = []
+            for s in (0, 1):
+                own = now & (side[text] == s)
+                part = np.zeros((count[s], 4096), np.float32)
+                part[rows[s][text[own]], at[own] - low] = 1
+                parts.append(part)
+            common += parts[0] @ parts[1].T
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(a) or not len(b):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        score = common / np.maximum(total[a][:, None] + total[b][None] - common, 1)
+        x, y = np.unravel_index(score.argmax(), score.shape)
+        return pa.table({"a": pa.array([ids[a[x]]]), "b": pa.array([ids[b[y]]]), "similarity": pa.array([float(score[x, y])])})
+
+    rows = left.unionByName(right).join(texts, "id")
+    return rows.groupBy("root", "other", "i", "j").applyInArrow(best, "a long, b long, similarity double")
+
+
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the buckets whose members are not all of one component, with their components."""
+    labelled = stored(members.join(roots, "id", "left").select("bucket", "id", "copies", F.coalesce("root", "id").alias("root")))
+    apart = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    return labelled.join(stored(apart.select("bucket")), "bucket", "left_semi")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """(doc_id, class_id, kept): the lowest id of each document's class, and whether it is the document's own."""
     given = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -216,29 +276,34 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     wanted = members.select("id").distinct()
     texts = stored(given.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
 
-    def ordered(df: DataFrame) -> DataFrame:
-        return df.filter("a <> b").distinct()
+    def fresh(pairs: DataFrame) -> DataFrame:
+        """Pairs not compared before, each in one order."""
+        one = pairs.filter("a <> b").groupBy(F.least("a", "b").alias("_l"), F.greatest("a", "b").alias("_g")).agg(F.min(F.struct("a", "b")).alias("_p")).select("_p.a", "_p.b")
+        known = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        return one.join(known, ["a", "b"], "left_anti")
 
-    tried = stored(similarities(ordered(members.select(F.col("centre").alias("a"), F.col("id").alias("b"))), texts))
+    tried = stored(similarities(members.select(F.col("centre").alias("a"), F.col("id").alias("b")).filter("a <> b").distinct(), texts))
     roots = _roots(tried, least)
-    done, more = 1, GROWTH
-    while True:
-        labelled = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        apart = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("n").alias("n"))
-        mixed = stored(labelled.join(apart.filter((F.col("low") < F.col("high")) & (F.col("n") > done)).select("bucket"), "bucket", "left_semi"))
-        if mixed.isEmpty():
-            break
-        centres = first_per_group(mixed, ["bucket"], [F.desc("copies"), F.asc("id")], done + more).select(
-            "bucket", F.col("id").alias("a"), F.col("root").alias("_root")
-        )
-        open_pairs = mixed.join(centres, "bucket").filter("root <> _root").select("a", F.col("id").alias("b"))
-        known = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # a pair of two centres comes in both orders
-        fresh = ordered(open_pairs).join(known, ["a", "b"], "left_anti")
-        fresh = fresh.groupBy(F.least("a", "b").alias("_l"), F.greatest("a", "b").alias("_g")).agg(F.min(F.struct("a", "b")).alias("_p")).select("_p.a", "_p.b")
-        tried = stored(tried.unionByName(similarities(fresh, texts)))
+    for most in CENTRES:
+        mixed = _mixed(members, roots)
+        main = mixed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
+        sided = stored(mixed.join(stored(main), "bucket"))
+        centres = first_per_group(sided.filter("root = main"), ["bucket"], [F.xxhash64("bucket", "id"), F.col("id")], most).select("bucket", F.col("id").alias("a"))
+        met = sided.filter("root <> main").select("bucket", F.col("id").alias("b")).join(stored(centres), "bucket").select("a", "b")
+        tried = stored(tried.unionByName(similarities(fresh(met), texts)))
         roots = _roots(tried, least)
-        done, more = done + more, more * GROWTH
+    sides = stored(_mixed(members, roots).select("bucket", "root").distinct())
+    meeting = sides.join(sides.withColumnRenamed("root", "other"), "bucket").filter("root < other").select("root", "other").distinct()
+    whole = stored(texts.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+    sizes = stored(whole.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
+    meeting = stored(
+        meeting.join(sizes, "root").join(sizes.select(F.col("root").alias("other"), F.col("size").alias("other_size")), "other")
+    )
+    few = meeting.filter(F.col("size") * F.col("other_size") <= BLOCK_PAIRS)
+    pairs = few.join(whole.select(F.col("id").alias("a"), "root"), "root").join(whole.select(F.col("id").alias("b"), F.col("root").alias("other")), "other").select("a", "b")
+    many = meeting.filter(F.col("size") * F.col("other_size") > BLOCK_PAIRS)
+    tried = stored(tried.unionByName(similarities(fresh(pairs), texts)).unionByName(block_links(many, whole, texts)))
+    roots = _roots(tried, least)
     heads = folded.select("digest", "head").join(roots, F.col("head") == F.col("id"), "left").select("digest", F.coalesce("root", "head").alias("class_id"))
     placed = signed.select("id", "digest").join(stored(heads), "digest", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
     lacking = given.filter("id IS NULL").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"))
