@@ -13,10 +13,10 @@ Two registers agree with probability equal to the weighted Jaccard similarity.
 Documents with equal word sequences are folded into the lowest id.  Signatures
 are banded.  In each bucket the member with the most copies (then the lowest id)
 is compared with all others, so a bucket costs as many comparisons as it has
-members.  Members outside a bucket's largest component then meet more and more
-members of that component.  Whatever components still share a bucket are
-compared completely, large ones in blocks of members by one sparse product of
-their shingles.  Every comparison is the exact multiset similarity of the texts.
+members.  Members outside a bucket's largest component then meet a few members of
+that component.  Those still outside are compared with the whole component and
+with each other, in blocks by one product of their shared shingles where there
+are many.  Every comparison is the exact multiset similarity of the texts.
 Components of pairs at or above ``LEAST`` are the classes.
 
 A document without words is similar to nothing.  Rows that repeat an id are
@@ -44,10 +44,10 @@ BANDS, BAND_ROWS = 42, 6
 REGISTERS = BANDS * BAND_ROWS
 #: Members of one centre that are compared in one run of rows.
 RUN = 256
-#: Centres of a bucket's largest component that the bucket's other members meet, round by round.
-CENTRES = (8, 64)
-#: Two components with more pairs of members than this meet in blocks.
-BLOCK_PAIRS = 64
+#: Centres of a bucket's largest component that the bucket's other members meet first.
+CENTRES = 8
+#: Groups with more pairs than this are compared in blocks.
+BLOCK_PAIRS = 128
 
 _WORD = re.compile(r"[^\W_]+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -207,22 +207,24 @@ def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("a", "b", "text").mapInArrow(compare, "a long, b long, similarity double")
 
 
-def block_links(meeting: DataFrame, whole: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the most similar pair of each block of two components.
+def block_links(left: DataFrame, right: DataFrame, amount: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of similar pairs of a left and a right member (group, id) of one group.
 
-    ``meeting`` has the components (root, size, other, other_size).  One link is
-    enough to join them, and no block holds more than about RUN members a side.
+    ``amount`` has the groups to compare with their numbers n and m of members.
+    Both sides are cut into blocks of about RUN members.  Of a block's similar
+    pairs those of a spanning forest are given.
     """
     blocks = lambda n: F.ceil(F.col(n) / RUN).cast("long")
-    cells = meeting.select("root", "other", blocks("size").alias("n"), blocks("other_size").alias("m")).select(
-        "root", "other", "n", "m", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")
-    ).select("root", "other", "n", "m", "i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
-    members = whole.select("id", F.col("root").alias("_root"))
-    in_block = lambda n, k: F.pmod(F.xxhash64("id"), F.col(n)) == F.col(k)
-    left = cells.join(members, (F.col("root") == F.col("_root")) & in_block("n", "i")).select("root", "other", "i", "j", F.lit(0).alias("side"), "id")
-    right = cells.join(members, (F.col("other") == F.col("_root")) & in_block("m", "j")).select("root", "other", "i", "j", F.lit(1).alias("side"), "id")
-
-    def best(block: pa.Table) -> pa.Table:
+    sized = stored(amount.select("group", blocks("n").alias("n"), blocks("m").alias("m")))
+
+    def side(members: DataFrame, number: int, own: str, other: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.col(own))
+        facing = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
+        placed = members.join(sized, "group").select("group", "id", block.alias("own"), facing.alias("facing"))
+        i, j = ("own", "facing") if number == 0 else ("facing", "own")
+        return placed.select("group", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(number).alias("side"), "id")
+
+    def links(block: pa.Table) -> pa.Table:
         side, ids = block.column("side").to_numpy(), block.column("id").to_numpy()
         text, shingle, weight = bags(*word_hashes(block.column("text").to_pylist()))
         total = np.bincount(text, weight, len(ids))
@@ -234,34 +236,45 @@ def block_links(meeting: DataFrame, whole: DataFrame, texts: DataFrame) -> DataF
         use = at < len(shared)
         use[use] = shared[at[use]] == column[use]
         text, at = text[use], at[use]
-        rows = np.cumsum(side == 0) - 1, np.cumsum(side == 1) - 1
-        count = int((side == 0).sum()), int((side == 1).sum())
-        common = np.zeros(count, np.float32)
+        where = [np.flatnonzero(side == s) for s in (0, 1)]
+        row = np.where(side == 0, np.cumsum(side == 0), np.cumsum(side == 1)) - 1
+        common = np.zeros((len(where[0]), len(where[1])), np.float32)
         for low in range(0, len(shared), 4096):
             now = (at >= low) & (at < low + 4096)
             parts = []
             for s in (0, 1):
                 own = now & (side[text] == s)
-                part = np.zeros((count[s], 4096), np.float32)
-                part[rows[s][text[own]], at[own] - low] = 1
+                part = np.zeros((len(where[s]), 4096), np.float32)
+                part[row[text[own]], at[own] - low] = 1
                 parts.append(part)
             common += parts[0] @ parts[1].T
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(a) or not len(b):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        score = common / np.maximum(total[a][:, None] + total[b][None] - common, 1)
-        x, y = np.unravel_index(score.argmax(), score.shape)
-        return pa.table({"a": pa.array([ids[a[x]]]), "b": pa.array([ids[b[y]]]), "similarity": pa.array([float(score[x, y])])})
+        score = common / np.maximum(total[where[0]][:, None] + total[where[1]][None] - common, 1)
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
 
-    rows = left.unionByName(right).join(texts, "id")
-    return rows.groupBy("root", "other", "i", "j").applyInArrow(best, "a long, b long, similarity double")
+        out = []
+        for x, y in zip(*(k.tolist() for k in np.nonzero(score >= least - 1e-6))):
+            a, b = int(ids[where[0][x]]), int(ids[where[1][y]])
+            if root(a) != root(b):
+                parent[root(a)] = root(b)
+                out.append((a, b, float(score[x, y])))
+        a, b, similarity = zip(*out) if out else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(similarity, pa.float64())})
 
+    rows = side(left, 0, "n", "m").unionByName(side(right, 1, "m", "n")).join(texts, "id")
+    return rows.groupBy("group", "i", "j").applyInArrow(links, "a long, b long, similarity double")
 
-def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of the buckets whose members are not all of one component, with their components."""
-    labelled = stored(members.join(roots, "id", "left").select("bucket", "id", "copies", F.coalesce("root", "id").alias("root")))
-    apart = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    return labelled.join(stored(apart.select("bucket")), "bucket", "left_semi")
+
+def _sided(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the buckets whose members are not all of one component, with their and the bucket's largest component."""
+    labelled = stored(members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root")))
+    sizes = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    return stored(labelled.join(stored(main.select("bucket", "main")), "bucket"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
@@ -284,25 +297,24 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
 
     tried = stored(similarities(members.select(F.col("centre").alias("a"), F.col("id").alias("b")).filter("a <> b").distinct(), texts))
     roots = _roots(tried, least)
-    for most in CENTRES:
-        mixed = _mixed(members, roots)
-        main = mixed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-        sided = stored(mixed.join(stored(main), "bucket"))
-        centres = first_per_group(sided.filter("root = main"), ["bucket"], [F.xxhash64("bucket", "id"), F.col("id")], most).select("bucket", F.col("id").alias("a"))
-        met = sided.filter("root <> main").select("bucket", F.col("id").alias("b")).join(stored(centres), "bucket").select("a", "b")
-        tried = stored(tried.unionByName(similarities(fresh(met), texts)))
-        roots = _roots(tried, least)
-    sides = stored(_mixed(members, roots).select("bucket", "root").distinct())
-    meeting = sides.join(sides.withColumnRenamed("root", "other"), "bucket").filter("root < other").select("root", "other").distinct()
-    whole = stored(texts.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
-    sizes = stored(whole.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
-    meeting = stored(
-        meeting.join(sizes, "root").join(sizes.select(F.col("root").alias("other"), F.col("size").alias("other_size")), "other")
-    )
-    few = meeting.filter(F.col("size") * F.col("other_size") <= BLOCK_PAIRS)
-    pairs = few.join(whole.select(F.col("id").alias("a"), "root"), "root").join(whole.select(F.col("id").alias("b"), F.col("root").alias("other")), "other").select("a", "b")
-    many = meeting.filter(F.col("size") * F.col("other_size") > BLOCK_PAIRS)
-    tried = stored(tried.unionByName(similarities(fresh(pairs), texts)).unionByName(block_links(many, whole, texts)))
+    sided = _sided(members, roots)
+    centres = first_per_group(sided.filter("root = main"), ["bucket"], [F.xxhash64("bucket", "id"), F.col("id")], CENTRES).select("bucket", F.col("id").alias("a"))
+    met = sided.filter("root <> main").select("bucket", F.col("id").alias("b")).join(stored(centres), "bucket").select("a", "b")
+    tried = stored(tried.unionByName(similarities(fresh(met), texts)))
+    roots = _roots(tried, least)
+    outside = stored(_sided(members, roots).filter("root <> main"))
+    # against the whole of the main component, and the others of the bucket
+    whole = stored(texts.select("id").join(roots, "id", "left").select(F.coalesce("root", "id").alias("group"), "id"))
+    facing = stored(outside.select(F.col("main").alias("group"), "id").distinct())
+    beside = outside.select(F.col("bucket").alias("group"), "id")
+    few, many = [], []
+    for left, right in ((whole, facing), (beside, beside)):
+        amount = left.groupBy("group").agg(F.count(F.lit(1)).alias("n")).join(right.groupBy("group").agg(F.count(F.lit(1)).alias("m")), "group")
+        amount = stored(amount.filter("n * m > 1"))
+        small = amount.filter(F.col("n") * F.col("m") <= BLOCK_PAIRS).select("group")
+        few.append(left.join(small, "group").select("group", F.col("id").alias("a")).join(right.select("group", F.col("id").alias("b")), "group").select("a", "b"))
+        many.append(block_links(left, right, amount.filter(F.col("n") * F.col("m") > BLOCK_PAIRS), texts, least))
+    tried = stored(tried.unionByName(similarities(fresh(few[0].unionByName(few[1])), texts)).unionByName(many[0]).unionByName(many[1]))
     roots = _roots(tried, least)
     heads = folded.select("digest", "head").join(roots, F.col("head") == F.col("id"), "left").select("digest", F.coalesce("root", "head").alias("class_id"))
     placed = signed.select("id", "digest").join(stored(heads), "digest", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
