@@ -47,7 +47,9 @@ SIGNS = {
 }
 SIZE = 64
 OTHER = len(ALPHABET) + 1
-SUBSTITUTE, NOISE, REPEAT, WILD = 1.0, 2.5, 0.4, 2.0
+SUBSTITUTE, REPEAT, WILD = 1.0, 0.4, 2.0
+#: Cost of a sign that means nothing: one that looks like no letter, one that does.
+NOISE, LOST = 1.0, 12.0
 
 _PLACE = {c: k + 1 for k, c in enumerate(ALPHABET)}
 _EDGE = re.compile(r"^[^\w@$!|+(€£¡]+|[^\w@$+€£]+$")
@@ -114,7 +116,7 @@ class Deobfuscator:
                     extra = 0.0 if letter else WILD if sign == "*" else SUBSTITUTE
                     offer(paid + extra + float(self.cost[a, b, own]), (b, own, text + stands))
                 if not letter:
-                    offer(paid + NOISE, (a, b, text))
+                    offer(paid + (LOST if SIGNS.get(sign) and sign != "*" else NOISE), (a, b, text))
                 elif text.endswith(sign) and at and token[at - 1] == sign:
                     offer(paid + REPEAT, (a, b, text))
             ranked = sorted(offers.items(), key=lambda x: (x[1], x[0][2]))[:BEAM]
