@@ -224,7 +224,7 @@ def best_column(price: np.ndarray, size: np.ndarray, capacity: int) -> tuple[flo
     return float(value[capacity]), column
 
 
-def first_fit(size: np.ndarray, count: np.ndarray, capacity: int) -> list[np.ndarray]:
+def first_fit(size: np.ndarray, count: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
     """First fit decreasing on counts of lengths: greedy patterns, each used as often as the counts allow."""
     left = count.copy()
     order = np.argsort(-size, kind="stable")
@@ -235,8 +235,9 @@ def first_fit(size: np.ndarray, count: np.ndarray, capacity: int) -> list[np.nda
         for k in order.tolist():
             pattern[k] = min(left[k], room // size[k])
             room -= pattern[k] * size[k]
-        left -= pattern
-        out.append(pattern)
+        uses = int((left[pattern > 0] // pattern[pattern > 0]).min())
+        left -= uses * pattern
+        out.append((uses, pattern))
     return out
 
 
@@ -257,11 +258,11 @@ def plan_patterns(histogram: dict[int, int], capacity: int = LENGTH // STEP) ->
         if whole > 0:
             left -= whole * held
             out.append((whole, held))
-    for held in first_fit(size, left, capacity):
-        if out and len(out[-1][1]) == len(held) and (out[-1][1] == held).all():
-            out[-1] = (out[-1][0] + 1, held)
-        else:
-            out.append((1, held))
+    out += first_fit(size, left, capacity)
+    # a program that stalls must not cost more than packing greedily from the start
+    greedy = first_fit(size, demand, capacity)
+    if sum(n for n, _ in greedy) < sum(n for n, _ in out):
+        out = greedy
     return [(n, size[held > 0], held[held > 0]) for n, held in out]
 
 

@@ -389,7 +389,7 @@ def test_patterns_hold_the_histogram():
     assert held == histogram
     size = np.array(sorted(histogram))
     greedy = packing.first_fit(size, np.array([histogram[s] for s in size.tolist()]), 256)
-    assert used <= len(greedy)
+    assert used <= sum(uses for uses, _ in greedy)
 
 
 # pipeline
