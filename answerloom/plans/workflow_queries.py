@@ -14,7 +14,6 @@ from answerloom.plans.registry import query
 from answerloom.plans.standins import raw, table, with_vectors
 
 stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-ALL_ROWS = 1_000_000_000
 
 # --- flagged questions -----------------------------------------------------
 
