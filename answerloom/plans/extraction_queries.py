@@ -370,5 +370,4 @@ def edit_layouts(spark, d):
     known = _known_layouts(spark, d)
     high = known.filter("source_filename = '2-HIGH'").select("id", F.lit("two columns").alias("name"), F.lit("default").alias("parser_profile"), F.lit(None).cast("string").alias("hint_overrides"))
     gone = known.filter("source_filename = '1-URGENT'").select("id")
-    edited = L.delete_fingerprints(L.update_fingerprints(known, high), gone)
-    return L.list_fingerprints(edited, 1, 1_000_000_000)[0].select("id", "name", "parser_profile")
+    return L.delete_fingerprints(L.update_fingerprints(known, high), gone).select("id", "name", "parser_profile")

@@ -413,7 +413,7 @@ def _merges(spark, d) -> DataFrame:
     """Live parts with one wording: keep the lowest id."""
     same = M.live(table(spark, d, "kb_parts")).groupBy("question").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     return same.filter(F.size("ids") > 1).select(
-        F.get("ids", F.lit(0)).alias("merge_no"), F.get("ids", F.lit(0)).alias("keep_id"), F.slice("ids", 2, 1_000_000).alias("delete_ids")
+        F.get("ids", F.lit(0)).alias("merge_no"), F.get("ids", F.lit(0)).alias("keep_id"), F.slice("ids", F.lit(2), F.size("ids") - 1).alias("delete_ids")
     )
 
 

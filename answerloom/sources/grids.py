@@ -25,42 +25,50 @@ def _read_dialect(text: str) -> tuple[str, str]:
     return found.delimiter, found.quotechar or '"'
 
 
-def parse_grids(documents: DataFrame) -> DataFrame:
-    """(doc_id, row_idx, cells, delimiter, quote) of (doc_id, content) files.
-
-    ``content`` is text or UTF-8 bytes of one whole file; cells are stripped.
-    """
+def _parsed(documents: DataFrame) -> DataFrame:
+    """Cells of (doc_id, content) files; a file that cannot be read has one row with its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, content in zip(batch["doc_id"], batch["content"]):
-                text = content.decode("utf-8-sig") if isinstance(content, (bytes, bytearray)) else content.removeprefix("\ufeff")
-                delimiter, quote = _read_dialect(text)
-                reader = csv.reader(text.splitlines(), delimiter=delimiter, quotechar=quote)
-                rows: list[list[str]] = []
-                start = 0
-                for row in reader:
-                    rows.append([cell.strip() for cell in row])
-                    if len(rows) == ROWS_PER_BATCH:
-                        yield _frame(doc_id, start, rows, delimiter, quote)
-                        start, rows = start + len(rows), []
-                if rows:
-                    yield _frame(doc_id, start, rows, delimiter, quote)
+                try:
+                    text = content.decode("utf-8-sig") if isinstance(content, (bytes, bytearray)) else content.removeprefix("\ufeff")
+                    delimiter, quote = _read_dialect(text)
+                    rows = [[cell.strip() for cell in row] for row in csv.reader(text.splitlines(), delimiter=delimiter, quotechar=quote)]
+                except (UnicodeDecodeError, csv.Error) as problem:
+                    yield _frame(doc_id, 0, [None], None, None, str(problem))
+                    continue
+                for start in range(0, len(rows), ROWS_PER_BATCH):
+                    yield _frame(doc_id, start, rows[start : start + ROWS_PER_BATCH], delimiter, quote)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     # sniffing costs far more than its bytes suggest: spread the files evenly
     tasks = documents.sparkSession.sparkContext.defaultParallelism * 4
     return documents.select("doc_id", "content").repartition(tasks, "doc_id").mapInPandas(
-        run, f"doc_id {kind}, row_idx long, cells array<string>, delimiter string, quote string"
+        run, f"doc_id {kind}, row_idx long, cells array<string>, delimiter string, quote string, error string"
     )
 
 
-def _frame(doc_id, start: int, rows: list[list[str]], delimiter: str, quote: str) -> pd.DataFrame:
+def _frame(doc_id, start: int, rows: list, delimiter: str | None, quote: str | None, error: str | None = None) -> pd.DataFrame:
     return pd.DataFrame(
-        {"doc_id": doc_id, "row_idx": range(start, start + len(rows)), "cells": rows, "delimiter": delimiter, "quote": quote}
+        {"doc_id": doc_id, "row_idx": range(start, start + len(rows)), "cells": rows, "delimiter": delimiter, "quote": quote, "error": error}
     )
 
 
+def parse_grids(documents: DataFrame) -> DataFrame:
+    """(doc_id, row_idx, cells, delimiter, quote) of (doc_id, content) files.
+
+    ``content`` is text or UTF-8 bytes of one whole file; cells are stripped.  A
+    file that cannot be read has no rows here and does not stop the others.
+    """
+    return _parsed(documents).filter("error IS NULL").drop("error")
+
+
+def grid_errors(documents: DataFrame) -> DataFrame:
+    """(doc_id, error) of the files that ``parse_grids`` leaves out."""
+    return _parsed(documents).filter("error IS NOT NULL").select("doc_id", "error")
+
+
 def read_grids(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Cells of delimited files; the path is the document id, a file is one task's work."""
     files = spark.read.format("binaryFile").load(paths)

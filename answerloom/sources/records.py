@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from answerloom.functions import text as X
 
 FIELDS = ("category", "question", "answer")
+ROWS_PER_BATCH = 10_000
 
 
 def _plain(name: str) -> str:
@@ -14,17 +21,24 @@ def _plain(name: str) -> str:
 
 
 def read_qa_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, row_no, category, question, answer); header names are trimmed,
-    lower-cased and freed of a byte-order mark, missing columns are null."""
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
-    by_name = {_plain(c): c for c in raw.columns}  # a later column of the same name wins
-    fields = [
-        (F.col(f"`{by_name[f]}`") if f in by_name else F.lit(None).cast("string")).alias(f) for f in FIELDS
-    ]
-    placed = raw.select(F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("_at"), *fields)
-    # a file with quoted line breaks is read by one task, so its rows come in order
-    order = Window.partitionBy("source_file").orderBy("_at")
-    return placed.select("source_file", F.row_number().over(order).cast("long").alias("row_no"), *FIELDS)
+    """(source_file, row_no, category, question, answer), each file by its own header.
+
+    Header names are trimmed, lower-cased and freed of a byte-order mark; of
+    columns of one name the last counts, missing columns and empty values are
+    null.  A file is one task's work.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for source, content in zip(batch["path"], batch["content"]):
+                reader = csv.DictReader(io.StringIO(content.decode("utf-8-sig", "replace"), newline=""))
+                place = {_plain(n): n for n in reader.fieldnames or ()}
+                rows = enumerate(([row.get(place.get(f)) or None for f in FIELDS] for row in reader), 1)
+                while part := list(islice(rows, ROWS_PER_BATCH)):
+                    yield pd.DataFrame([(source, n, *values) for n, values in part], columns=["source_file", "row_no", *FIELDS])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "source_file string, row_no long, " + ", ".join(f"{f} string" for f in FIELDS))
 
 
 def _field(record: Column, name: str) -> Column:
@@ -45,15 +59,14 @@ def parse_records(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         "source_file", F.when(kind == "", "Invalid JSON format").otherwise("JSON import must be an array of records").alias("error")
     )
     elements = files.filter(kind.startswith("ARRAY")).select(
-        "source_file", F.posexplode(F.transform(F.from_json(text, "array<string>"), lambda e: F.struct(e.alias("e")))).alias("at", "x")
-    ).select("source_file", "at", F.col("x.e").alias("element"))
-    # strings lose their quotes on the way, so they read as something else than an object
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("element")), F.lit("")).startswith("OBJECT")
+        "source_file", F.posexplode(F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")).alias("at", "value")
+    )
+    is_object = F.coalesce(F.schema_of_variant("value"), F.lit("")).startswith("OBJECT")
     wrong = elements.filter(~is_object).select(
         "source_file", F.concat(F.lit("Row "), (F.col("at") + 1).cast("string"), F.lit(": invalid record format (expected object)")).alias("error")
     )
     order = Window.partitionBy("source_file").orderBy("at")
-    records = elements.filter(is_object).select(
+    records = elements.filter(is_object).withColumn("element", F.to_json("value")).select(
         "source_file", F.row_number().over(order).cast("long").alias("row_no"), *[_field(F.col("element"), f).alias(f) for f in FIELDS]
     )
     return records, bad.unionByName(wrong)

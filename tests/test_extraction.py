@@ -167,6 +167,26 @@ def test_import_files(spark, tmp_path):
     assert [r.error for r in records.read_qa_json(spark, str(tmp_path / "o.json"))[1].collect()] == ["JSON import must be an array of records"]
 
 
+def test_import_files_with_different_headers(spark, tmp_path):
+    for name, content in (("a", "category,question,answer\nc1,q1,a1\n"), ("b", "\ufeffAnswer, Category ,Question\na2,c2,q2\n\na3,,q3\n"), ("c", "question,note\nq4,n\n"), ("d", "")):
+        (tmp_path / f"{name}.csv").write_text(content, encoding="utf-8")
+    got = records.read_qa_csv(spark, str(tmp_path)).orderBy("source_file", "row_no").collect()
+    assert [(r.row_no, r.category, r.question, r.answer) for r in got] == [(1, "c1", "q1", "a1"), (1, "c2", "q2", "a2"), (2, None, "q3", "a3"), (1, None, "q4", None)]
+
+
+def test_json_string_with_object_text_is_no_record(spark):
+    files = spark.createDataFrame([("f", '[{"question":"Q"}, "{\\"question\\":\\"from a string\\"}", null]')], "source_file string, content string")
+    good, bad = records.parse_records(files)
+    assert [(r.row_no, r.question) for r in good.collect()] == [(1, "Q")]
+    assert sorted(r.error[:5] for r in bad.collect()) == ["Row 2", "Row 3"]
+
+
+def test_unreadable_grid_leaves_the_others(spark):
+    files = spark.createDataFrame([(1, b"Question,Answer\nA,B"), (2, "Fran\u00e7ais,x".encode("latin-1"))], "doc_id long, content binary")
+    assert {(r.doc_id, r.row_idx) for r in grids.parse_grids(files).collect()} == {(1, 0), (1, 1)}
+    assert [r.doc_id for r in grids.grid_errors(files).collect()] == [2]
+
+
 def test_backup_and_restore(spark, tmp_path):
     flags = spark.sql("SELECT 1L AS id, 'a \"b\"\nc' AS extracted_question, true AS resolved, TIMESTAMP_NTZ'2024-01-02 03:04:05' AS created_at, array(1.5f) AS embedding UNION ALL SELECT 2L, NULL, false, NULL, NULL")
     summary = {r.table: (r.rows, r.status) for r in backup.backup_tables({"flagged_questions": flags}, str(tmp_path / "b")).collect()}
