@@ -13,7 +13,7 @@ Two registers agree with probability equal to the weighted Jaccard similarity.
 Documents with equal word sequences are folded into the lowest id.  Signatures
 are banded.  In each bucket the member with the most copies (then the lowest id)
 is compared with all others, so a bucket costs as many comparisons as it has
-members.  Members outside a bucket's largest component then meet a few members of
+members.  Members outside a bucket's largest component then meet the same few members of
 that component.  Those still outside are compared with the whole component and
 with each other, in blocks by one product of their shared shingles where there
 are many.  Every comparison is the exact multiset similarity of the texts.
@@ -44,7 +44,7 @@ BANDS, BAND_ROWS = 42, 6
 REGISTERS = BANDS * BAND_ROWS
 #: Members of one centre that are compared in one run of rows.
 RUN = 256
-#: Centres of a bucket's largest component that the bucket's other members meet first.
+#: Members of a component that others, which share a bucket with it, meet first.
 CENTRES = 8
 #: Groups with more pairs than this are compared in blocks.
 BLOCK_PAIRS = 128
@@ -298,8 +298,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     tried = stored(similarities(members.select(F.col("centre").alias("a"), F.col("id").alias("b")).filter("a <> b").distinct(), texts))
     roots = _roots(tried, least)
     sided = _sided(members, roots)
-    centres = first_per_group(sided.filter("root = main"), ["bucket"], [F.xxhash64("bucket", "id"), F.col("id")], CENTRES).select("bucket", F.col("id").alias("a"))
-    met = sided.filter("root <> main").select("bucket", F.col("id").alias("b")).join(stored(centres), "bucket").select("a", "b")
+    centres = first_per_group(sided.filter("root = main").select("main", "id").distinct(), ["main"], [F.xxhash64("id"), F.col("id")], CENTRES).select("main", F.col("id").alias("a"))
+    met = sided.filter("root <> main").select("main", F.col("id").alias("b")).distinct().join(stored(centres), "main").select("a", "b")
     tried = stored(tried.unionByName(similarities(fresh(met), texts)))
     roots = _roots(tried, least)
     outside = stored(_sided(members, roots).filter("root <> main"))
