@@ -36,9 +36,9 @@ def mapping_sql(profile: str = "default", skip_blank: bool = True, source: str =
     head, q0, a0 = opt["header_rows"], opt["question_column_index"], opt["answer_column_index"]
     filled = f"len(list_filter(cells, lambda c: {C.strip('c')} <> '')) > 0"
     hits = lambda patterns: f"list_filter(range(len(f)), lambda i: {C.any_match('f[i + 1]', patterns)})"
-    return f"""rows{tag} AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY row_idx) AS nth FROM {source} {'WHERE ' + filled if skip_blank else ''}),
+    return f"""rows{tag} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY row_idx) AS nth FROM {source} {'WHERE ' + filled if skip_blank else ''}),
     heads{tag} AS (SELECT {keys}, len(f) AS width, {hits(X.QUESTION_HEADER)} AS qh, {hits(X.ANSWER_HEADER)} AS ah FROM (SELECT {keys}, cells AS f FROM rows{tag} WHERE nth = 1) t),
-    asked{tag} AS (SELECT {keys}, cells, q FROM (SELECT {keys}, cells, unnest(range(len(cells) - 1)) AS q FROM rows{tag} WHERE nth > {head}) t WHERE {C.is_question('cells[q + 1]')}),
+    asked{tag} AS MATERIALIZED (SELECT {keys}, cells, q FROM (SELECT {keys}, cells, unnest(range(len(cells) - 1)) AS q FROM rows{tag} WHERE nth > {head}) t WHERE {C.is_question('cells[q + 1]')}),
     pairs{tag} AS (SELECT {keys}, cells, q, a FROM (SELECT {keys}, cells, q, unnest(range(q + 1, len(cells))) AS a FROM asked{tag}) t WHERE length(cells[a + 1]) < 3),
     sums{tag} AS (SELECT {keys}, q, a, sum(3 + CASE WHEN a = q + 1 THEN 2 ELSE 0 END + CASE WHEN len(list_filter(cells[1:q], lambda c: length(c) >= 10)) = 0 THEN 1 ELSE 0 END
       - CASE WHEN len(list_filter(cells[q + 2:a], lambda c: c <> '')) > 0 THEN 2 ELSE 0 END) AS score FROM pairs{tag} GROUP BY ALL),
@@ -58,8 +58,8 @@ def items_sql(profile: str = "default", skip_blank: bool = True, source: str = "
       WHERE {start} AND len(r.cells) > greatest(q_col, a_col) {strict} AND {C.is_question('r.cells[q_col + 1]')})"""
 
 
-BASE = "cells AS (SELECT * FROM ({cells}) z)"
-TABLES = "cells AS (SELECT *, 0 AS table_idx, 0 AS page_idx, layout AS sheet_name FROM ({cells}) z)"
+BASE = "cells AS MATERIALIZED (SELECT * FROM ({cells}) z)"
+TABLES = "cells AS MATERIALIZED (SELECT *, 0 AS table_idx, 0 AS page_idx, layout AS sheet_name FROM ({cells}) z)"
 
 
 @query("infer_mapping", f"WITH {BASE}, {mapping_sql()} SELECT * FROM mapping")
