@@ -159,8 +159,9 @@ def verification_set(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
 def apply_corrections(items: DataFrame, decisions: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, decisions) after (doc_id, seq, id, action, revised_answer, revised_confidence, reason).
 
-    The last usable correction of an item decides its text; the notes of all of
-    them are appended to the decision in order.
+    The last usable correction of an item decides its text.  A decision changes by
+    corrections of exactly its id; of several decisions with one id only the first
+    does.  The notes of all its corrections are appended to it in order.
     """
     action = F.lower(X.strip(F.coalesce("action", F.lit(""))))
     revised = X.strip(F.coalesce("revised_answer", F.lit("")))
@@ -168,22 +169,27 @@ def apply_corrections(items: DataFrame, decisions: DataFrame, corrections: DataF
         "doc_id", "seq", _decision_index(F.col("id")).alias("question_index"), "id", action.alias("what"), revised.alias("revised"),
         X.coerce_confidence(F.col("revised_confidence")).alias("new_confidence"), F.coalesce("reason", F.lit("")).alias("why"),
         F.col("revised_confidence").isNotNull().alias("scored"),
-    ).filter(((F.col("what") == "revise") & (F.col("revised") != "")) | (F.col("what") == "flag"))
+    ).filter(F.col("question_index").isNotNull() & (((F.col("what") == "revise") & (F.col("revised") != "")) | (F.col("what") == "flag")))
     is_flag = F.col("what") == "flag"
     note = F.concat(
         F.when(is_flag, F.lit("[Flagged by verification: ")).otherwise(F.lit("[Revised by verification: ")), F.col("why"), F.lit("]")
     )
-    folded = usable.groupBy("doc_id", "question_index").agg(
-        F.max_by(F.when(~is_flag, F.col("revised")), "seq").alias("_text"), F.lit(True).alias("_hit"),
+    text = F.max_by(F.when(~is_flag, F.col("revised")), "seq").alias("_text")
+    by_item = usable.groupBy("doc_id", "question_index").agg(text, F.lit(True).alias("_hit"))
+    by_id = usable.groupBy("doc_id", "id").agg(
+        text, F.lit(True).alias("_hit"),
         F.max_by("new_confidence", F.when(F.col("scored") & ~is_flag, F.col("seq"))).alias("_confidence"),
         F.bool_or(F.col("scored") & ~is_flag).alias("_scored"), F.bool_or(is_flag).alias("_flagged"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", note.alias("note")))), lambda n: n["note"]), " ").alias("_notes"),
     )
+    place = F.min(F.struct("chunk_no", "at")).alias("_first")
+    firsts = decisions.groupBy("doc_id", "id").agg(place).select("doc_id", "id", "_first.*")
+    noted = by_id.join(firsts, ["doc_id", "id"])
     hit = F.col("_hit").isNotNull()
-    new_items = items.join(folded.select("doc_id", "question_index", "_text", "_hit"), ["doc_id", "question_index"], "left").withColumn(
+    new_items = items.join(by_item, ["doc_id", "question_index"], "left").withColumn(
         "answer_text", F.when(hit, F.col("_text")).otherwise(F.col("answer_text"))
     ).select(*items.columns)
-    new_decisions = decisions.join(folded, ["doc_id", "question_index"], "left").withColumns(
+    new_decisions = decisions.join(noted, ["doc_id", "id", "chunk_no", "at"], "left").withColumns(
         {
             "answer": F.when(hit, F.col("_text")).otherwise(F.col("answer")),
             "action": F.when(hit & F.col("_flagged"), "flag").otherwise(F.col("action")),

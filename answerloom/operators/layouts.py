@@ -19,7 +19,8 @@ def _words(cells: Column) -> Column:
 def fingerprint(cells: DataFrame, file_type: str = "csv") -> DataFrame:
     """(doc_id, file_type, column_count, header_words, fingerprint_hash).
 
-    Delimited files: width and words of the first row.  Table documents
+    Delimited files: width and words of the first row, which
+    ``sources.grids.header_cells`` reads from files.  Table documents
     (``docx``): widest first row and the words of all first rows.  Other types
     have no structure, so they share one hash per type.
     """

@@ -16,6 +16,7 @@ from answerloom.plans import checks as C
 from answerloom.plans.registry import query
 from answerloom.plans.standins import raw, table
 from answerloom.session import durable
+from answerloom.sources import grids
 
 
 def stored_cells(spark, d) -> DataFrame:
@@ -23,6 +24,15 @@ def stored_cells(spark, d) -> DataFrame:
     return durable(table(spark, d, "cells"))
 
 
+def delimited_files(spark, d) -> DataFrame:
+    """(doc_id, content): whole questionnaires as delimited text; the layout decides the delimiter."""
+    rows = table(spark, d, "cells")
+    mark = F.when(F.col("layout") == "2-HIGH", ";").when(F.col("layout") == "3-MEDIUM", "|").when(F.col("layout") == "4-NOT SPECIFIED", "\t").otherwise(",")
+    lines = rows.withColumn("mark", mark).withColumn("line", grids.delimited_line(F.col("cells"), F.col("mark"), F.lit('"')))
+    files = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("row_idx", "line"))).alias("l"))
+    return files.select("doc_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("content"))
+
+
 def cells(spark, d, **options) -> DataFrame:
     return E.with_options(stored_cells(spark, d), **options)
 
@@ -289,6 +299,23 @@ def fingerprint(spark, d):
     )
 
 
+# a file is known by its first record split at commas, also where another delimiter separates its cells
+FILE_PRINTS = """marked AS (SELECT doc_id, arg_min(cells, row_idx) AS c, CASE any_value(layout) WHEN '2-HIGH' THEN ';' WHEN '3-MEDIUM' THEN '|' WHEN '4-NOT SPECIFIED' THEN chr(9) ELSE ',' END AS mark FROM ({cells}) x GROUP BY doc_id),
+    heads AS (SELECT doc_id, CASE mark WHEN ',' THEN c ELSE string_split(replace(array_to_string(c, chr(31)), chr(31), mark), ',') END AS first FROM marked),
+    words AS (SELECT doc_id, first, list_sort(list_distinct(list_filter(flatten(list_transform(first, lambda c: string_split_regex(lower(c), '[ \\t]+'))), lambda w: w <> ''))) AS words FROM heads)"""
+
+
+@query(
+    "fingerprint_files",
+    f"""WITH {FILE_PRINTS} SELECT doc_id, CAST(len(first) AS INTEGER) AS column_count, array_to_string(words, ' ') AS words,
+      sha256(concat('csv::', CAST(len(first) AS VARCHAR), '::', array_to_string(words, '|'))) AS fingerprint_hash FROM words""",
+)
+def fingerprint_files(spark, d):
+    return L.fingerprint(grids.header_cells(delimited_files(spark, d))).select(
+        "doc_id", "column_count", F.array_join("header_words", " ").alias("words"), "fingerprint_hash"
+    )
+
+
 @query(
     "fingerprint_tables",
     """WITH f AS (SELECT doc_id, layout, arg_min(cells, row_idx) AS first FROM (SELECT p.p_size AS doc_id, c.doc_id AS layout, row_idx, cells FROM ({cells}) c JOIN part p ON p.p_partkey = c.doc_id) x GROUP BY ALL),

@@ -8,6 +8,7 @@ from answerloom.functions import responses as R, text as X, vectors as V
 from answerloom.operators import flags as FL, jobs as J, knowledge as KB
 from answerloom.operators.matching import live
 from answerloom.plans import checks as C
+from answerloom.plans.extraction_queries import delimited_files
 from answerloom.plans.registry import query
 from answerloom.plans.standins import raw, table
 from answerloom.session import scratch_folder
@@ -331,19 +332,10 @@ def restore_tables(spark, d):
     return flags.select("id", "job_id", "extracted_question", "resolved", "resolved_answer", text("resolved_at"), text("created_at"))
 
 
-def _sniffable(spark, d):
-    """Whole questionnaires as delimited text; the layout decides the delimiter."""
-    rows = table(spark, d, "cells")
-    mark = F.when(F.col("layout") == "2-HIGH", ";").when(F.col("layout") == "3-MEDIUM", "|").when(F.col("layout") == "4-NOT SPECIFIED", "\t").otherwise(",")
-    lines = rows.withColumn("mark", mark).withColumn("line", grids.delimited_line(F.col("cells"), F.col("mark"), F.lit('"')))
-    files = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("row_idx", "line"))).alias("l"))
-    return files.select("doc_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("content"))
-
-
 @query("parse_grids")
 def parse_grids(spark, d):
     """No SQL twin: what a delimiter sniffer decides is not expressible in SQL."""
-    parsed = grids.parse_grids(_sniffable(spark, d))
+    parsed = grids.parse_grids(delimited_files(spark, d))
     return parsed.select("doc_id", "row_idx", F.array_join("cells", "␟").alias("cells"), "delimiter")
 
 

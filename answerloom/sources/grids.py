@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Iterator
 
 import pandas as pd
@@ -64,6 +65,31 @@ def parse_grids(documents: DataFrame) -> DataFrame:
     return _parsed(documents).filter("error IS NULL").drop("error")
 
 
+def header_cells(documents: DataFrame) -> DataFrame:
+    """(doc_id, row_idx, cells): the first record of each file, always split at commas.
+
+    Layouts are known by it, whatever delimiter the file has.  An empty file has
+    no cells; files that ``grid_errors`` lists for their bytes are left out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, heads = [], []
+            for doc_id, content in zip(batch["doc_id"], batch["content"]):
+                try:
+                    text = content.decode("utf-8-sig") if isinstance(content, (bytes, bytearray)) else content.removeprefix("\ufeff")
+                    head = next(csv.reader(io.StringIO(text, newline=None)), [])
+                except (UnicodeDecodeError, csv.Error):
+                    continue
+                ids.append(doc_id)
+                heads.append(head)
+            if ids:
+                yield pd.DataFrame({"doc_id": ids, "row_idx": 0, "cells": heads})
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", "content").mapInPandas(run, f"doc_id {kind}, row_idx long, cells array<string>")
+
+
 def grid_errors(documents: DataFrame) -> DataFrame:
     """(doc_id, error) of the files that ``parse_grids`` leaves out."""
     return _parsed(documents).filter("error IS NOT NULL").select("doc_id", "error")

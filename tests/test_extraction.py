@@ -204,3 +204,11 @@ def test_fingerprints(spark):
     assert prints[0].header_words == ["answer", "nr", "question"] and prints[0].fingerprint_hash == prints[1].fingerprint_hash != prints[2].fingerprint_hash
     other = L.fingerprint(grid(spark, a, b), "xlsx").collect()
     assert len({r.fingerprint_hash for r in other}) == 1 and other[0].column_count == 0
+
+
+def test_fingerprints_of_files_split_at_commas(spark):
+    files = spark.createDataFrame([(0, b"\xef\xbb\xbfNr;Question\n1;x"), (1, b'"a,\nb",C'), (2, b""), (3, b"\xff")], "doc_id int, content binary")
+    heads = {r.doc_id: r.cells for r in grids.header_cells(files).collect()}
+    assert heads == {0: ["Nr;Question"], 1: ["a,\nb", "C"], 2: []}
+    prints = {r.doc_id: (r.column_count, r.header_words) for r in L.fingerprint(grids.header_cells(files)).collect()}
+    assert prints == {0: (1, ["nr;question"]), 1: (2, ["a,", "b", "c"]), 2: (0, [])}

@@ -401,3 +401,15 @@ def test_requests_are_chunked(spark):
     found = spark.createDataFrame([], "doc_id int, question_index long, rank int, kb_id long, category string, kb_question string, kb_answer string, similarity double")
     got = {r.chunk_no: r.n_questions for r in I.fill_requests(items, found).collect()}
     assert got == {1: 40, 2: 40, 3: 15}
+
+
+def test_corrections_change_the_first_decision_of_their_id(spark):
+    items = spark.createDataFrame([(1, i, None) for i in range(7)], "doc_id int, question_index int, answer_text string")
+    rows = [(1, 0, 0, "q_5", 5, "answer", "a", 0.9, "r"), (1, 0, 1, "q_5", 5, "answer", "b", 0.9, "r"), (1, 1, 0, "q_6", 6, "answer", "c", 0.9, "r")]
+    decisions = spark.createDataFrame(rows, "doc_id int, chunk_no int, at int, id string, question_index int, action string, answer string, confidence double, reason string")
+    notes = [(1, 1, "q_5", "revise", "new", "0.4", "x"), (1, 2, "q_06", "revise", "other", None, "y"), (1, 3, "bad", "flag", None, None, "z")]
+    corrections = spark.createDataFrame(notes, "doc_id int, seq int, id string, action string, revised_answer string, revised_confidence string, reason string")
+    after, changed = I.apply_corrections(items, decisions, corrections)
+    assert {r.question_index: r.answer_text for r in after.collect() if r.answer_text} == {5: "new", 6: "other"}
+    got = [(r.answer, r.confidence, r.reason) for r in changed.orderBy("chunk_no", "at").collect()]
+    assert got == [("new", 0.4, "r [Revised by verification: x]"), ("b", 0.9, "r"), ("c", 0.9, "r")]
