@@ -28,12 +28,12 @@ VIEWS = {
                CASE WHEN l.quality = 1 THEN {ts}d.doc_id + d.n_chars * 60{/ts} END AS updated_at,
                CASE WHEN l.toxic = 1 THEN {ts}d.doc_id + 86400{/ts} END AS deleted_at
         FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
-    # knowledge base of single lines: those of labelled documents
+    # knowledge base of single lines
     "kb_lines": """
         SELECT x.doc_id * 100000 + x.line_idx AS id, x.lang AS category, x.line AS question, concat('Known from ', x.source) AS answer,
                {ts}x.doc_id{/ts} AS created_at, CASE WHEN l.quality = 1 THEN {ts}x.doc_id + x.n_chars{/ts} END AS updated_at,
                CASE WHEN l.toxic = 1 THEN {ts}x.doc_id + 86400{/ts} END AS deleted_at
-        FROM ({lines}) x JOIN {labels} l ON x.doc_id = l.doc_id""",
+        FROM ({lines}) x LEFT JOIN {labels} l ON x.doc_id = l.doc_id""",
     # knowledge base of passages
     "kb_items": """
         SELECT item_id AS id, 'passage' AS category, text AS question, concat('Item ', CAST(item_id AS {string})) AS answer,
@@ -53,12 +53,12 @@ VIEWS = {
         SELECT vec_id AS seq, vec_id AS review_id,
                CASE WHEN label IN (0, 4) THEN 'keep_left' WHEN label IN (1, 7) THEN 'keep_right' WHEN label IN (2, 9) THEN 'keep_both' ELSE 'merge' END AS action
         FROM {embeddings}""",
-    # corrections: labelled documents, changed by their reviewer
+    # corrections: documents, changed by their reviewer
     "corrections": """
         SELECT d.doc_id AS id, d.doc_id AS job_id, d.doc_id AS question_result_id, d.lang AS question_text, d.source AS original_answer,
                concat(d.source, ' corrected') AS corrected_answer, CASE WHEN l.quality = 1 THEN d.source END AS original_source,
-               l.toxic = 1 AS auto_added_to_kb, {ts}d.n_chars{/ts} AS created_at
-        FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",
+               coalesce(l.toxic = 1, false) AS auto_added_to_kb, {ts}d.n_chars{/ts} AS created_at
+        FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
     # templates: one per part type and size, with the parts as answers
     "templates": """
         SELECT p_partkey AS id, concat(p_name, ' template') AS name, p_brand AS description, p_partkey AS source_job_id, p_size AS question_count,
