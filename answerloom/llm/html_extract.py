@@ -3,10 +3,13 @@
 A page is cut into blocks of text; each block has the path of block tags from
 the root to its leaf.  Per path the page's text length, punctuation, links and
 blocks are summed up.  The ratios of text and of punctuation per block are
-smoothed over the paths below the same parent, fused, weighted by the
-landmarks on the path (article before main before anything else) and compared
-with the page's threshold.  Blocks of the paths that pass are the main text.
-Paths through menus, forms, adverts, comments and the like never pass.
+smoothed over the paths below the same parent, fused, and lowered where the
+text is links.  The landmark on the path (article before main before anything
+else) weighs as much as the unlinked text below it, so a few words in an article
+do not outweigh a body of text beside it.  The weighted ratio is compared with a
+threshold that depends on the heaviest landmark, inside a landmark as well.
+Blocks of the paths that pass are the main text.  Paths through menus, forms,
+adverts, comments and the like never pass.
 
 Null and empty pages give an empty text.  Broken markup is read as browsers do:
 unclosed tags end with their parent, an unclosed comment or script runs to the
@@ -49,9 +52,10 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 _NAMES = re.compile(r"[A-Za-z]+")
 
-LANDMARK = {"article": 900.0, "main": 30.0, "": 1.0}
-FLOOR = 0.1
-ALONE = 0.3
+#: What a character of text below a landmark counts.
+LANDMARK = {"article": 9.0, "main": 3.0, "": 1.0}
+#: Least score of a path, by the page's heaviest landmark.
+LEAST = {"article": 0.05, "main": 0.1, "": 0.3}
 
 
 def _role(tag: str, raw: str, inside: str) -> tuple[bool, str]:
@@ -168,11 +172,11 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, int]]:
         yield done
 
 
-def path_scores(rows: list[tuple[str, str, bool, int]]) -> dict[str, float]:
-    """Fused, smoothed and weighted score of each path that may hold content."""
+def path_scores(rows: list[tuple[str, str, bool, int]]) -> tuple[dict[str, float], str]:
+    """Fused, smoothed and weighted score of each path that may hold content, and the heaviest landmark."""
     paths = list(dict.fromkeys(r[0] for r in rows if not r[2]))
     if not paths:
-        return {}
+        return {}, ""
     place = {p: k for k, p in enumerate(paths)}
     count, chars, marks, links = np.zeros((4, len(paths)))
     for path, text, noise, linked in rows:
@@ -183,14 +187,17 @@ def path_scores(rows: list[tuple[str, str, bool, int]]) -> dict[str, float]:
             marks[k] += len(_PUNCTUATION.findall(text))
             links[k] += linked
     free = 1 - links / chars
-    text_ratio = np.log1p(chars / count * free)
-    mark_ratio = np.log1p(marks / count * free)
     parents = [p.split("|")[0].rpartition("/")[0] for p in paths]
-    text_ratio, mark_ratio = _smooth(text_ratio, parents), _smooth(mark_ratio, parents)
-    fused = text_ratio * (1 + mark_ratio)
+    text_ratio, mark_ratio = _smooth(np.log1p(chars / count), parents), _smooth(np.log1p(marks / count), parents)
+    fused = text_ratio * (1 + mark_ratio) * free
     fused = fused / max(fused.max(), 1e-9)
-    weight = np.array([LANDMARK[p.rsplit("|", 1)[1]] for p in paths])
-    return dict(zip(paths, (weight * (fused + FLOOR)).tolist()))
+    landmarks = [p.rsplit("|", 1)[1] for p in paths]
+    mass = dict.fromkeys(landmarks, 0.0)
+    for landmark, size in zip(landmarks, (chars * free).tolist()):
+        mass[landmark] += size * LANDMARK[landmark]
+    heaviest = max(mass, key=lambda m: (mass[m], LANDMARK[m]))
+    weight = np.array([mass[m] for m in landmarks]) / max(mass[heaviest], 1e-9)
+    return dict(zip(paths, (weight * fused).tolist())), heaviest
 
 
 def _smooth(values: np.ndarray, parents: list[str]) -> np.ndarray:
@@ -203,12 +210,8 @@ def _smooth(values: np.ndarray, parents: list[str]) -> np.ndarray:
 def main_text(page: str) -> str:
     """Main text of one page, blocks joined by line ends."""
     rows = list(blocks(page))
-    scores = path_scores(rows)
-    if not scores:
-        return ""
-    top = max(LANDMARK[p.rsplit("|", 1)[1]] for p in scores)
-    least = top * FLOOR if top > 1 else ALONE + FLOOR
-    return "\n".join(text for path, text, noise, _ in rows if not noise and scores[path] >= least)
+    scores, heaviest = path_scores(rows)
+    return "\n".join(text for path, text, noise, _ in rows if not noise and scores[path] >= LEAST[heaviest])
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -94,6 +94,19 @@ def test_html_cases():
     assert html_extract.main_text(plain) == "Long text, with signs; it goes on and on.\nMore of it, too."
 
 
+def test_html_ratios_decide():
+    body = [f"Sentence number {k}, with a clause; it goes on for a while, and then it ends." for k in range(6)]
+    inside = "".join(f"<p>{b}</p>" for b in body)
+    links = "".join(f"<li><a href={k}>Another story {k}</a></li>" for k in range(8))
+    # a list of links below the article landmark has no class that tells
+    assert html_extract.main_text(f"<main><article><h1>Title</h1>{inside}<section><ul>{links}</ul></section></article></main>") == "\n".join(["Title", *body])
+    # the body is in plain divs, the articles are a few words each
+    cards = "".join(f"<article><h3><a href={k}>Story {k}</a></h3><p>In short.</p></article>" for k in range(3))
+    assert html_extract.main_text(f"<body><div><div>{inside}</div></div><div>{cards}</div></body>") == "\n".join(body)
+    # text outside an article that holds the page's text stays out
+    assert html_extract.main_text(f"<body><div><p>{body[0]}</p></div><article>{inside}</article></body>") == "\n".join(body)
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", None, 5), (1, "u", None, 5), (2, None, PAGE, 6), (None, "v", "", 7)], "page_id long, url string, html string, text int")
     got = html_extract.extract(pages).collect()
