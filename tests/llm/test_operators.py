@@ -199,6 +199,26 @@ def test_lm_windows_score_each_id_once(monkeypatch):
     assert np.allclose(lm_score._class_scores(model, ids, sizes), whole, atol=1e-4)
 
 
+def test_lm_trains_on_every_id(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    sizes = np.array([5, 0, 5000, 2048, 1, 700])
+    ids = rng.integers(0, lm_score.CLASSES, sizes.sum())
+    whole = lm_score.lay_out(ids, sizes, 3)
+    parts = list(lm_score._steps(ids, sizes, 3))
+    assert max(len(p.now) for p in parts) <= lm_score.STEP_IDS
+    for name in ("now", "before", "last"):
+        assert (np.concatenate([getattr(p, name) for p in parts]) == getattr(whole, name)).all()
+    seen = np.concatenate([np.where(p.outside, -1, p.window)[p.block] for p in parts])
+    assert (seen == np.where(whole.outside, -1, whole.window)[whole.block]).all()
+    # the weight of each task's model in the average is the number of ids it was trained on
+    trained = []
+    monkeypatch.setattr(lm_score, "_average", lambda rows, like: trained.append(sum(r["n"] for r in rows.collect())) or like)
+    texts = ["a few words", None, "word and word " * 900]
+    model = lm_score.LanguageModel(np.zeros(lm_score.IDS, np.int64), np.zeros(lm_score.IDS), np.zeros(lm_score.CLASSES), lm_score.initial_weights(np.ones(lm_score.IDS), np.zeros(lm_score.IDS, np.int64)), 1, 1)
+    lm_score.train(spark.createDataFrame([(t,) for t in texts], "text string"), model, rounds=1)
+    assert trained == [sum(len(i) for t in texts for i in lm_score.subwords([*(t or "").encode().split(), b""]))]
+
+
 def test_lm_odd(spark, odd, none):
     counts = lm_score.stored(lm_score.word_counts(none))
     model = lm_score.learn(none, counts)
