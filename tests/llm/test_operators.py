@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -255,6 +256,31 @@ def test_decontamination_substitutions_and_odd(spark, odd, none):
     assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [11, 12, 13]
 
 
+def test_decontamination_masks_are_complete():
+    for length in range(1, decontaminate.WINDOW + 1):
+        masks = decontaminate.MASKS if length >= decontaminate.LONG else decontaminate.short_masks(length)
+        for changed in itertools.combinations(range(length), length - decontaminate.needed(length)):
+            assert any(not {i + o for o in m} & set(changed) for m in masks for i in range(length - m[-1])), (length, changed)
+
+
+def test_decontamination_finds_every_accepted_overlap(spark):
+    items, rows = [], []
+    for n in (1, 3, 6, 7, 8, 9, 10, 12, 13, 14):
+        words = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        may = min(n, 13) - decontaminate.needed(min(n, 13))
+        for changed in itertools.combinations(range(n), may):
+            rows.append((len(rows), n, True, " ".join(["before", *("x" if k in changed else w for k, w in enumerate(words)), "after"])))
+        if may:
+            rows += [(len(rows), n, True, " ".join(words[may:])), (len(rows) + 1, n, True, " ".join(words[:-may]))]
+        if n < 13:
+            for changed in itertools.combinations(range(n), may + 1):
+                rows.append((len(rows), n, False, " ".join("x" if k in changed else w for k, w in enumerate(words))))
+    docs = spark.createDataFrame(rows, "doc_id long, n long, hit boolean, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {r[:2] for r in rows if r[2]}
+
+
 def test_decontamination_in_blocks(spark, docs, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     one = sorted(map(tuple, decontaminate.overlaps(docs, bench).collect()))
