@@ -4,7 +4,8 @@ A token that may be disguised (digits or signs between letters, letters held
 down, letters spaced out) is a lattice: every place offers the letters it may
 stand for, a sign may be noise, a repeated letter may count once.  A Viterbi
 search finds the readings that a character trigram model and the channel's costs
-like best.  The trigram model counts all texts of the corpus.
+like best.  The trigram model counts all texts of the corpus.  In a run of single
+characters a word may end before any of them, at the price of the model.
 
 The restored words are scored: words and word beginnings whose share of toxic
 documents in a bounded labelled sample is far from chance carry log odds, and a
@@ -37,6 +38,8 @@ THRESHOLD = 0.7
 #: Toxic documents that must hold a feature, and its least surprise (log-likelihood ratio).
 SUPPORT, SURPRISE = 3, 10.0
 BEAM, READINGS, MARGIN = 12, 3, 3.0
+#: The same for runs of single characters, whose readings differ in where words end.
+RUN_BEAM, RUN_READINGS, RUN_MARGIN = 96, 32, 8.0
 PREFIXES = range(3, 8)
 
 # Letters of the character model and what a sign may stand for.
@@ -99,8 +102,12 @@ class Deobfuscator:
         triple = counts + 2 * pair[None]
         return Deobfuscator((-np.log(triple / triple.sum(axis=2, keepdims=True))).astype(np.float32))
 
-    def readings(self, token: str) -> list[str]:
-        """The likeliest readings of a token, best first; the beam keeps the best states of each place."""
+    def readings(self, token: str, run: bool = False) -> list[str]:
+        """The likeliest readings of a token, best first; the beam keeps the best states of each place.
+
+        In a run of single characters a reading may hold blanks between words.
+        """
+        wide, most, margin = (RUN_BEAM, RUN_READINGS, RUN_MARGIN) if run else (BEAM, READINGS, MARGIN)
         beam: list[tuple[float, int, int, str]] = [(0.0, 0, 0, "")]
         for at, sign in enumerate(token):
             offers: dict[tuple[int, int, str], float] = {}
@@ -110,6 +117,8 @@ class Deobfuscator:
                     offers[state] = paid
 
             letter = sign.isalpha()
+            if run:
+                beam = beam + [(paid + float(self.cost[a, b, 0]), b, 0, text + " ") for paid, a, b, text in beam if text and text[-1] != " "]
             for paid, a, b, text in beam:
                 for stands in sign if letter else SIGNS.get(sign, ""):
                     own = _PLACE.get(stands, OTHER)
@@ -119,11 +128,15 @@ class Deobfuscator:
                     offer(paid + (LOST if SIGNS.get(sign) and sign != "*" else NOISE), (a, b, text))
                 elif text.endswith(sign) and at and token[at - 1] == sign:
                     offer(paid + REPEAT, (a, b, text))
-            ranked = sorted(offers.items(), key=lambda x: (x[1], x[0][2]))[:BEAM]
+            ranked = sorted(offers.items(), key=lambda x: (x[1], x[0][2]))[:wide]
             beam = [(paid, *state) for state, paid in ranked] or beam
         ends = sorted((paid + float(self.cost[a, b, 0]), text) for paid, a, b, text in beam if text)
-        best = list(dict.fromkeys(text for paid, text in ends if paid <= ends[0][0] + MARGIN))
-        return best[:READINGS]
+        best = list(dict.fromkeys(text for paid, text in ends if paid <= ends[0][0] + margin))
+        return best[:most]
+
+    def restore_run(self, joined: str) -> list[list[str]]:
+        """Readings of a run of single characters as words; the run as one token is the first."""
+        return [self.restore(joined), *(text.split() for text in self.readings(joined, run=True))]
 
     def restore(self, token: str) -> list[str]:
         """Readings of a lower-case token between blanks; an ordinary word reads as itself."""
@@ -144,7 +157,7 @@ def features(word: str) -> list[str]:
 def _words(tokens: list[str], restorer: Deobfuscator) -> list[str]:
     """Restored words of a text, letters spaced out among them."""
     out = [w for t in dict.fromkeys(tokens) for w in restorer.restore(t)]
-    return out + [w for joined in spaced_out(tokens) for w in restorer.restore(joined)]
+    return out + [w for joined in spaced_out(tokens) for reading in restorer.restore_run(joined) for w in reading]
 
 
 def spaced_out(tokens: list[str]) -> list[str]:
@@ -198,9 +211,10 @@ class ToxicityModel:
         threes = single[2:] & single[1:-1] & single[:-2] & (rows[2:] == rows[:-2])
         for k in np.unique(rows[2:][threes]).tolist():
             for joined in spaced_out(split[k]):
-                own = self.token(joined)
-                strong[k] = max(strong[k], own)
-                amount[k] += own
+                readings = [[self.word(w) for w in reading] for reading in self.restorer.restore_run(joined)]
+                strong[k] = max(strong[k], *(max(own, default=0.0) for own in readings))
+                # the words of one reading, not of all
+                amount[k] += max(map(sum, readings))
         return np.stack([strong, np.log1p(amount), np.log1p(sizes)], axis=1)
 
     def chance(self, evidence: np.ndarray) -> np.ndarray:

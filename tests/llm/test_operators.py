@@ -314,6 +314,18 @@ def test_deobfuscation(docs):
     assert toxicity.spaced_out("you s t u p i d man".split()) == ["stupid"]
 
 
+def test_spaced_runs_hold_several_words(spark, docs):
+    restorer = toxicity.Deobfuscator.learn(docs)
+    for run, words in (("astupid", ["a", "stupid"]), ("youidiot", ["you", "idiot"]), ("y0u1d10t", ["you", "idiot"]), ("stupid", ["stupid"]), ("stupidmoron", ["stupid", "moron"])):
+        assert words in restorer.restore_run(run), run
+    train = spark.createDataFrame([(k, "you are a moron and stupid" if k % 2 else "you are a kind and gentle person here") for k in range(60)], "doc_id long, text string")
+    model = toxicity.learn(train, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int"))
+    texts = ["what a s t u p i d man", "y o u m o r o n", "s t u p i d m o r o n", "you k i n d", "a g e n t l e person"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = {r["doc_id"]: r["_toxic_score"] for r in toxicity.score(asked, model).collect()}
+    assert [score[k] > 0.7 for k in range(5)] == [True, True, True, False, False]
+
+
 def test_toxicity_held_out(spark, odd, none):
     big = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
