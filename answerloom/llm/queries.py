@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from answerloom.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, lm_score, near_dedup, packing, toxicity, url_filter
+from answerloom.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, lm_score, near_dedup, packing, periodic_runs, toxicity, url_filter
 from answerloom.llm.common import remainder, stored, table
 from answerloom.llm.registry import query
 
@@ -169,3 +169,36 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def repeated_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): documents whose crc32 ends in 0 go round in a part of their own words from some word on."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    g = F.floor(h / 10)
+    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), h.alias("h"), g.alias("g")).withColumn(
+        "words", F.when(F.col("h") % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
+    )
+    n = F.size("words")
+    start = (F.col("g") % F.greatest(n, F.lit(1))).cast("int")
+    placed = chosen.withColumns({"n": n, "a": start}).withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    times = F.ceil(rest / F.col("p")).cast("int")
+    around = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times)), F.lit(1), rest)
+    turned = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), around), " ")
+    return placed.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), turned).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = periodic_runs.collapse(repeated_words(table(spark, sf_dir, "documents")))
+    best = periodic_runs.longest(F.col("runs"))
+    return done.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(best["length"] * 1000 / best["period"]).alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
