@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from answerloom.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, lm_score, near_dedup, packing, periodic_runs, toxicity, url_filter
+from answerloom.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, lm_score, near_dedup, packing, periodic_runs, prefix_trie, toxicity, url_filter
 from answerloom.llm.common import remainder, stored, table
 from answerloom.llm.registry import query
 
@@ -202,3 +202,48 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(periodic_runs.listed(F.col("runs")), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+OP13_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, octet_length(encode(coalesce(text, ''))) AS size,
+         md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL),
+paths AS (SELECT conv_id, list({'digest': digest, 'size': size} ORDER BY turn NULLS FIRST, digest, size) AS path FROM turns GROUP BY conv_id),
+hashes AS (
+  SELECT conv_id, path, xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]),
+         lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384::BIGINT * (c & 1)))), 4294967295::BIGINT) % 9 AS h
+  FROM paths),
+rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(list_slice(b.path, 1, o.h), []), list_slice(o.path, o.h + 1, len(o.path))) AS path
+  FROM hashes o LEFT JOIN paths b ON b.conv_id = o.conv_id - o.conv_id % 5),
+members AS (
+  SELECT conv_id, d, list_transform(list_slice(path, 1, d), lambda t: t.digest) AS node, CASE WHEN d > 0 THEN path[d].size ELSE 0 END AS size, d = len(path) AS ends
+  FROM (SELECT conv_id, path, unnest(range(len(path) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM members GROUP BY node, d),
+childs AS (SELECT list_slice(node, 1, d - 1) AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+counted AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN childs c ON c.node = n.node),
+subtrees AS (
+  SELECT list_slice(node, 1, up) AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens
+  FROM (SELECT *, unnest(range(d + 1)) AS up FROM counted) GROUP BY 1)
+SELECT c.conv_id, CAST(c.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(c.n_convs AS BIGINT) AS n_convs, CAST(c.n_children AS BIGINT) AS n_children,
+       CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN subtrees s ON s.node = c.node LEFT JOIN nodes p ON c.d > 0 AND p.d = c.d - 1 AND p.node = list_slice(c.node, 1, c.d - 1)
+"""
+
+
+def grafted(paths: DataFrame) -> DataFrame:
+    """(conv, path): the first turns of the conversation at the last multiple of five, then the own turns after as many."""
+    kept = (F.crc32(F.encode(F.col("conv").cast("string"), "UTF-8")) % 9).cast("int")
+    heads = paths.filter("conv % 5 = 0").select(F.col("conv").alias("base"), F.slice("path", 1, 8).alias("head"))
+    own = paths.select("conv", "path", (F.col("conv") - F.col("conv") % 5).alias("base"), kept.alias("h"))
+    head = F.slice(F.coalesce("head", F.slice("path", 1, 0)), F.lit(1), F.col("h"))
+    return own.join(heads, "base", "left").select("conv", F.concat(head, F.slice("path", F.col("h") + 1, F.greatest(F.size("path"), F.lit(1)))).alias("path"))
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(grafted(stored(prefix_trie.paths(table(spark, sf_dir, "conversations")))))
