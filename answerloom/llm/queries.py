@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from answerloom.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, lm_score, near_dedup, packing, periodic_runs, prefix_trie, toxicity, url_filter
+from answerloom.llm import chat_format, decontaminate, exact_dedup, html_extract, language_id, lm_score, near_dedup, packing, periodic_runs, prefix_trie, substring_dedup, toxicity, url_filter
 from answerloom.llm.common import remainder, stored, table
 from answerloom.llm.registry import query
 
@@ -247,3 +247,27 @@ def grafted(paths: DataFrame) -> DataFrame:
 @query("op13_prefix_trie", OP13_SQL)
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(grafted(stored(prefix_trie.paths(table(spark, sf_dir, "conversations")))))
+
+
+OP12_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, start, array_to_string(list_slice(w, start + 1, start + 20), ' ') AS passage
+  FROM (SELECT doc_id, w, unnest(range(len(w) - 19)) AS start FROM words WHERE len(w) >= 20)),
+later AS (
+  SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY passage ORDER BY doc_id, start) AS copy FROM windows) WHERE copy > 1),
+covered AS (SELECT DISTINCT doc_id, start + unnest(range(20)) AS place FROM later),
+placed AS (SELECT doc_id, w, unnest(range(len(w))) AS place FROM words),
+kept AS (
+  SELECT p.doc_id, string_agg(p.w[p.place + 1], ' ' ORDER BY p.place) AS kept, count(*) AS n
+  FROM placed p ANTI JOIN covered c ON p.doc_id = c.doc_id AND p.place = c.place GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON k.doc_id = w.doc_id
+"""
+
+
+@query("op12_substring_dedup", OP12_SQL)
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
