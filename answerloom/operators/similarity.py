@@ -1,20 +1,31 @@
 """Exact similarity joins over unit vectors.
 
-Vectors are gathered around pivots (a bounded sample of the data) into cells,
-cells are cut into blocks of bounded size, and a pair of blocks meets in a task
-only when the triangle inequality on angles allows a similar pair in it.
-Inside the task the blocks are compared with one matrix product.  Nothing is
-approximated: a pair of cells is skipped only when it cannot hold a result.
+Vectors are gathered around pivots (a bounded sample of the data) into cells.  Of
+each cell the driver knows its pivot, its radius as an angle, the range of its
+norms and the range of every coordinate.  Two bounds on the dot product with any
+row of a cell follow: one from the triangle inequality on angles, one from the
+coordinates (an inverted index of the cells: buckets that no row of a cell has add
+nothing).  A row visits a cell only where the smaller bound reaches what the row
+still needs, so nothing is approximated.
+
+The best matches are found in two rounds: each row first meets the cell of its
+nearest pivot, and its k-th best similarity there is what any other cell must
+reach.
+
+Rows and cells meet in tiles: a cell is cut into parts of bounded size, its
+visitors too, and each part is sent once for each part of the other side.  A tile
+is one matrix product in one task, and there is one plan at every size.
 
 A hot group of near copies does not blow up the cluster search: vectors that
-reach the threshold against their own pivot are linked to it directly, and
-blocks of such vectors around one pivot are not compared with each other.
+reach the threshold against their own pivot are linked to it directly, and are
+not compared with each other.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,37 +37,78 @@ from answerloom.operators.ranking import first_per_group
 from answerloom.session import durable
 
 MAX_PIVOTS = 256
-ROWS_PER_PIVOT = 2048
+ROWS_PER_PIVOT = 512
+#: Bytes of vectors of one side of a tile.
 BLOCK_BYTES = 16 << 20
-BROADCAST_BYTES = 64 << 20
 CHUNK_ROWS = 1024
 MIN_BLOCK_ROWS = 256
 ANGLE_SLACK = 2e-3  # 32-bit vectors are unit length only up to rounding
+BOUND_SLACK = 1e-5
+
+CELL = "cell int, rows long, radius double, norm_low double, norm_high double, low array<float>, high array<float>"
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
-def _pivots(vectors: DataFrame, rows: int, threshold: float) -> tuple[list[int], np.ndarray]:
-    """A bounded, repeatable sample of the vectors; one is enough where no pair
-    of cells could be skipped."""
-    wanted = 1 if threshold <= 0 else max(1, min(MAX_PIVOTS, rows // ROWS_PER_PIVOT))
-    picked = vectors.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
-    return [r["id"] for r in picked], np.array([r["vec"] for r in picked], dtype="f8")
+# --- the index ----------------------------------------------------------------
 
 
-def _one_cell(vectors: DataFrame) -> DataFrame:
-    """A single cell for comparisons in which no pair can be skipped."""
-    return vectors.select(
-        "id", "vec", F.lit(0).alias("cell"), F.lit(math.pi).alias("angle"), F.lit(1.0).alias("norm"),
-        F.lit(0.0).alias("pivot_similarity"), F.lit(False).alias("core"),
-    )
+@dataclass
+class Bounds:
+    """What the driver knows of the cells: at most two cells a pivot."""
+
+    pivots: np.ndarray
+    cells: pd.DataFrame
+
+    def __post_init__(self):
+        lengths = np.linalg.norm(self.pivots, axis=1)
+        self.unit = self.pivots / np.where(lengths > 0, lengths, 1.0)[:, None]
+        self.number = self.cells["cell"].to_numpy()
+        self.radius, self.norm_low, self.norm_high = (self.cells[c].to_numpy("f8") for c in ("radius", "norm_low", "norm_high"))
+        self.low = np.array(self.cells["low"].tolist(), "f8").reshape(len(self.cells), -1)
+        self.high = np.array(self.cells["high"].tolist(), "f8").reshape(len(self.cells), -1)
+
+    def home(self, vecs: np.ndarray) -> np.ndarray:
+        """Number of the nearest pivot of each vector."""
+        return (vecs @ self.unit.T).argmax(axis=1)
+
+    def upper(self, vecs: np.ndarray) -> np.ndarray:
+        """Bound on the dot product of each vector with any row of each cell."""
+        norms = np.linalg.norm(vecs, axis=1)
+        angles = np.arccos(np.clip(vecs @ self.unit.T / np.where(norms > 0, norms, 1.0)[:, None], -1.0, 1.0))
+        gap = angles[:, self.number // 2] - self.radius - ANGLE_SLACK
+        cosine = np.cos(np.clip(gap, 0.0, math.pi))
+        by_angle = norms[:, None] * cosine * np.where(cosine >= 0, self.norm_high, self.norm_low)
+        by_bucket = np.maximum(vecs, 0.0) @ self.high.T + np.minimum(vecs, 0.0) @ self.low.T
+        return np.minimum(by_angle, by_bucket) + BOUND_SLACK
+
+
+@dataclass
+class Index:
+    """Vectors by cell: ``rows`` are (id, vec, cell).  Cell 2p holds rows of pivot p, 2p + 1 its core."""
 
+    bounds: Bounds
+    rows: DataFrame
+    count: int
+    pivot_ids: list[int]
 
-def _assign(vectors: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
-    """Nearest pivot, angle to it and norm; a core row is similar to its pivot."""
+    @property
+    def dims(self) -> int:
+        return self.bounds.pivots.shape[1]
+
+
+def _pivots(vectors: DataFrame, rows: int) -> tuple[list[int], np.ndarray]:
+    """A bounded, repeatable sample of the vectors."""
+    wanted = max(1, min(MAX_PIVOTS, rows // ROWS_PER_PIVOT))
+    picked = vectors.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
+    return [r["id"] for r in picked], np.array([r["vec"] for r in picked], dtype="f8")
+
+
+def _assign(vectors: DataFrame, pivots: np.ndarray, threshold: float | None) -> DataFrame:
+    """(id, vec, cell, similarity to the pivot): rows that reach the threshold there form the core."""
     lengths = np.linalg.norm(pivots, axis=1)
     unit = pivots / np.where(lengths > 0, lengths, 1.0)[:, None]
 
@@ -65,215 +117,194 @@ def _assign(vectors: DataFrame, pivots: np.ndarray, threshold: float) -> DataFra
             if not batch.num_rows:
                 continue
             vecs = _matrix(batch.column(1), batch.num_rows).astype("f8")
-            norms = np.linalg.norm(vecs, axis=1)
             products = vecs @ unit.T
-            cell = products.argmax(axis=1)
-            best = products[np.arange(len(cell)), cell]
-            cosine = np.clip(best / np.where(norms > 0, norms, 1.0), -1.0, 1.0)
-            raw = best * lengths[cell]
+            near = products.argmax(axis=1)
+            raw = products[np.arange(len(near)), near] * lengths[near]
+            core = np.zeros(len(near), bool) if threshold is None else np.round(raw, SIMILARITY_DIGITS) >= threshold
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(cell.astype("i4")),
-                    pa.array(np.arccos(cosine)),
-                    pa.array(norms),
-                    pa.array(raw),
-                    pa.array(np.round(raw, SIMILARITY_DIGITS) >= threshold),
-                ],
-                names=["id", "vec", "cell", "angle", "norm", "pivot_similarity", "core"],
+                [batch.column(0), batch.column(1), pa.array((2 * near + core).astype("i4")), pa.array(raw)], names=["id", "vec", "cell", "to_pivot"]
             )
 
-    return vectors.mapInArrow(
-        run, "id long, vec array<float>, cell int, angle double, norm double, pivot_similarity double, core boolean"
-    )
+    return vectors.mapInArrow(run, "id long, vec array<float>, cell int, to_pivot double")
 
 
-def _block_rows(rows: int, dims: int, parallelism: int) -> int:
-    by_size = max(1, BLOCK_BYTES // (4 * max(1, dims)))
-    by_tasks = max(MIN_BLOCK_ROWS, math.ceil(rows / max(1, parallelism)))
-    return min(by_size, by_tasks)
+def _cells(assigned: DataFrame, pivots: np.ndarray) -> pd.DataFrame:
+    """One row for each cell that holds rows."""
+    lengths = np.linalg.norm(pivots, axis=1)
+    unit = pivots / np.where(lengths > 0, lengths, 1.0)[:, None]
 
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vecs, cell = _matrix(batch.column(0), batch.num_rows), batch.column(1).to_numpy()
+            for c in np.unique(cell).tolist():
+                own = vecs[cell == c]
+                norms = np.linalg.norm(own.astype("f8"), axis=1)
+                cosine = np.clip(own.astype("f8") @ unit[c // 2] / np.where(norms > 0, norms, 1.0), -1.0, 1.0)
+                new = [len(own), float(np.arccos(cosine).max()), float(norms.min()), float(norms.max()), own.min(axis=0), own.max(axis=0)]
+                found[c] = _merged(found[c], new) if c in found else new
+        if found:
+            yield _cell_batch(found)
 
-def _blocks(assigned: DataFrame, block_rows: int) -> tuple[DataFrame, pd.DataFrame]:
-    """Blocks of bounded size, with the bounds of the cell each belongs to."""
-    cells = (
-        assigned.groupBy("cell", "core")
-        .agg(F.count(F.lit(1)).alias("rows"), F.max("angle").alias("radius"), F.max("norm").alias("norm"))
-        .orderBy("cell", "core")
-        .toPandas()  # at most two rows per pivot
-    )
-    cells["parts"] = np.ceil(cells["rows"] / block_rows).astype("i8")
-    cells["first"] = cells["parts"].cumsum() - cells["parts"]
-    spark = assigned.sparkSession
-    if not len(cells):
-        layout = spark.createDataFrame([], "cell int, core boolean, parts long, first long")
-    else:
-        layout = spark.createDataFrame(cells[["cell", "core", "parts", "first"]]).withColumn(
-            "cell", F.col("cell").cast("int")
-        )
-    numbered = assigned.join(F.broadcast(layout), ["cell", "core"]).withColumn(
-        "block", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))
-    )
-    rows = F.sort_array(F.collect_list(F.struct("id", "vec")))
-    blocks = (
-        numbered.groupBy("block")
-        .agg(rows.alias("rows"))
-        .select(
-            "block",
-            F.transform("rows", lambda r: r["id"]).alias("ids"),
-            F.flatten(F.transform("rows", lambda r: r["vec"])).alias("vecs"),
-        )
-    )
-    return blocks, cells
-
-
-def _block_pairs(
-    spark, left: pd.DataFrame, right: pd.DataFrame, pivots: np.ndarray, threshold: float, same: bool, forest: bool
-) -> DataFrame:
-    """Pairs of blocks that may hold a similar pair."""
-    schema = "a_first long, a_parts long, b_first long, b_parts long"
-    if not len(left) or not len(right):
-        pairs = spark.createDataFrame([], schema)
-    else:
-        lengths = np.linalg.norm(pivots, axis=1)
-        unit = pivots / np.where(lengths > 0, lengths, 1.0)[:, None]
-        a_cell, b_cell = left["cell"].to_numpy(), right["cell"].to_numpy()
-        between = np.arccos(np.clip(unit[a_cell] @ unit[b_cell].T, -1.0, 1.0))
-        gap = between - left["radius"].to_numpy()[:, None] - right["radius"].to_numpy()[None, :] - ANGLE_SLACK
-        norms = left["norm"].to_numpy()[:, None] * right["norm"].to_numpy()[None, :]
-        best = np.where(gap <= 0, 1.0, np.cos(np.clip(gap, 0, math.pi))) * norms
-        keep = (best >= threshold - 1e-5) | (threshold <= 0)
-        if same:
-            keep &= np.arange(len(left))[:, None] <= np.arange(len(right))[None, :]
-        if forest:
-            core = left["core"].to_numpy()
-            keep &= ~((a_cell[:, None] == b_cell[None, :]) & core[:, None] & core[None, :])
-        i, j = np.nonzero(keep)
-        pairs = spark.createDataFrame(
-            pd.DataFrame(
-                {
-                    "a_first": left["first"].to_numpy()[i],
-                    "a_parts": left["parts"].to_numpy()[i],
-                    "b_first": right["first"].to_numpy()[j],
-                    "b_parts": right["parts"].to_numpy()[j],
-                }
-            ),
-            schema,
-        )
-    series = lambda side: F.sequence(F.col(f"{side}_first"), F.col(f"{side}_first") + F.col(f"{side}_parts") - 1)
-    spread = pairs.select(F.explode(series("a")).alias("block_a"), "b_first", "b_parts").select(
-        "block_a", F.explode(series("b")).alias("block_b")
-    )
-    return spread.filter("block_a <= block_b") if same else spread
+    def whole(key: tuple[pa.Scalar, ...], given: pa.Table) -> pa.Table:
+        merged = None
+        for row in given.to_pylist():
+            new = [row["rows"], row["radius"], row["norm_low"], row["norm_high"], np.array(row["low"], "f4"), np.array(row["high"], "f4")]
+            merged = new if merged is None else _merged(merged, new)
+        return pa.Table.from_batches([_cell_batch({key[0].as_py(): merged})])
 
+    parts = assigned.select("vec", "cell").mapInArrow(part, CELL)
+    return parts.groupBy("cell").applyInArrow(whole, CELL).toPandas().sort_values("cell", ignore_index=True)
 
-def _row_blocks(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
-        columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-        for row in range(batch.num_rows):
-            sides = []
-            for side in ("a", "b"):
-                ids = columns[f"ids_{side}"][row].values.to_numpy(zero_copy_only=False)
-                flat = columns[f"vecs_{side}"][row].values.to_numpy(zero_copy_only=False)
-                sides += [ids, flat.reshape(len(ids), -1).astype("f8")]
-            yield (columns["block_a"][row].as_py() == columns["block_b"][row].as_py(), *sides)
 
+def _merged(a: list, b: list) -> list:
+    return [a[0] + b[0], max(a[1], b[1]), min(a[2], b[2]), max(a[3], b[3]), np.minimum(a[4], b[4]), np.maximum(a[5], b[5])]
 
-def _emit(a, b, similarity) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.asarray(a, dtype="i8")), pa.array(np.asarray(b, dtype="i8")), pa.array(np.asarray(similarity, dtype="f8"))],
-        names=["a", "b", "similarity"],
-    )
 
+def _cell_batch(found: dict[int, list]) -> pa.RecordBatch:
+    columns = list(zip(*found.values()))
+    arrays = [pa.array(list(found), pa.int32()), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[1:4])]
+    arrays += [pa.array([v.tolist() for v in c], pa.list_(pa.float32())) for c in columns[4:6]]
+    return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in CELL.split(", ")])
 
-def _pair_task(threshold: float, same: bool):
-    def run(batches):
-        for equal, a_ids, a_vecs, b_ids, b_vecs in _row_blocks(batches):
-            for start in range(0, len(a_ids), CHUNK_ROWS):
-                sims = a_vecs[start:start + CHUNK_ROWS] @ b_vecs.T
-                hit = np.round(sims, SIMILARITY_DIGITS) >= threshold
-                if same and equal:
-                    hit &= a_ids[start:start + CHUNK_ROWS, None] < b_ids[None, :]
-                i, j = np.nonzero(hit)
-                a, b = a_ids[start + i], b_ids[j]
-                if same:
-                    a, b = np.minimum(a, b), np.maximum(a, b)
-                if len(a):
-                    yield _emit(a, b, sims[i, j])
-
-    return run
-
-
-def _forest_task(threshold: float):
-    """Edges that connect what the similar pairs of two blocks connect."""
-
-    def run(batches):
-        for equal, a_ids, a_vecs, b_ids, b_vecs in _row_blocks(batches):
-            label = np.arange(len(b_ids))
-            out_a, out_b, out_s = [], [], []
-            for start in range(0, len(a_ids), CHUNK_ROWS):
-                sims = a_vecs[start:start + CHUNK_ROWS] @ b_vecs.T
-                hit = np.round(sims, SIMILARITY_DIGITS) >= threshold
-                for i in np.flatnonzero(hit.any(axis=1)):
-                    cols = np.flatnonzero(hit[i])
-                    if equal:
-                        cols = cols[cols != start + i]
-                        if not len(cols):
-                            continue
-                    roots, first = np.unique(label[cols], return_index=True)
-                    linked = roots
-                    if equal:
-                        own = label[start + i]
-                        first, roots = first[roots != own], roots[roots != own]
-                        linked = np.append(roots, own)
-                    for f in first:
-                        out_a.append(a_ids[start + i])
-                        out_b.append(b_ids[cols[f]])
-                        out_s.append(sims[i, cols[f]])
-                    if len(linked) > 1:
-                        label[np.isin(label, linked)] = linked.min()
-            if out_a:
-                yield _emit(np.minimum(out_a, out_b), np.maximum(out_a, out_b), out_s)
-
-    return run
-
-
-def _top_task(k: int, threshold: float):
-    def run(batches):
-        for _, a_ids, a_vecs, b_ids, b_vecs in _row_blocks(batches):
-            for start in range(0, len(a_ids), CHUNK_ROWS):
-                sims = a_vecs[start:start + CHUNK_ROWS] @ b_vecs.T
-                rank = np.round(sims, SIMILARITY_DIGITS)
-                rows = np.arange(len(rank))
-                for _ in range(min(k, len(b_ids))):
-                    best = rank.argmax(axis=1)  # ids ascend, so ties go to the lowest
-                    good = rank[rows, best] >= threshold
-                    if good.any():
-                        picked = rows[good]
-                        yield _emit(a_ids[start + picked], b_ids[best[good]], sims[picked, best[good]])
-                    rank[rows, best] = -np.inf
-
-    return run
-
-
-def _compare(pairs: DataFrame, left: DataFrame, right: DataFrame, task, small: bool, partitions: int) -> DataFrame:
-    rename = lambda blocks, side: blocks.select(
-        F.col("block").alias(f"block_{side}"), F.col("ids").alias(f"ids_{side}"), F.col("vecs").alias(f"vecs_{side}")
-    )
-    a, b = rename(left, "a"), rename(right, "b")
-    if small:  # both block tables were counted and fit BROADCAST_BYTES
-        a, b = F.broadcast(a), F.broadcast(b)
-        pairs = pairs.repartition(partitions, "block_a", "block_b")
-    return pairs.join(b, "block_b").join(a, "block_a").mapInArrow(task, "a long, b long, similarity double")
 
+def build_index(vectors: DataFrame, threshold: float | None = None) -> Index | None:
+    """Index of (id, vec) rows, which are read several times; none of an empty table."""
+    rows = vectors.count()
+    if not rows:
+        return None
+    pivot_ids, pivots = _pivots(vectors, rows)
+    assigned = _assign(vectors, pivots, threshold)
+    return Index(Bounds(pivots, _cells(assigned, pivots)), assigned, rows, pivot_ids)
 
-def _dims(pivots: np.ndarray) -> int:
-    return pivots.shape[1] if pivots.ndim == 2 else 1
 
+# --- visits and tiles -----------------------------------------------------------
 
-def _empty(vectors: DataFrame) -> DataFrame:
-    return vectors.sparkSession.createDataFrame([], "a long, b long, similarity double")
+VISIT = "id long, vec array<float>, floor double, own boolean, cell int"
+
+
+def _visits(rows: DataFrame, choose: Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray], floor: float | None = None) -> DataFrame:
+    """Rows once for each cell they visit.
+
+    ``choose`` gets the columns of a batch and its vectors and returns, for each
+    row, which cells it visits, as (matrix of rows by cells, cell numbers, own cells).
+    """
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vecs = _matrix(batch.column(1), batch.num_rows).astype("f8")
+            columns = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(names) if n != "vec"}
+            wanted, cells, own = choose(columns, vecs)
+            row, at = np.nonzero(wanted)
+            least = np.full(len(vecs), floor) if floor is not None else columns["floor"]
+            # a row with many visits would make a batch many times its size
+            for start in range(0, len(row), CHUNK_ROWS):
+                r, c = row[start : start + CHUNK_ROWS], cells[at[start : start + CHUNK_ROWS]]
+                taken = pa.array(r)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(least[r]), pa.array(own[r] == c), pa.array(c.astype("i4"))],
+                    names=["id", "vec", "floor", "own", "cell"],
+                )
+
+    return rows.mapInArrow(run, VISIT)
+
+
+def _part_rows(rows: int, dims: int, parallelism: int) -> int:
+    by_size = max(1, BLOCK_BYTES // (4 * max(1, dims)))
+    by_tasks = max(MIN_BLOCK_ROWS, math.ceil(rows / max(1, parallelism)))
+    return min(by_size, by_tasks)
+
+
+def _meet(visits: DataFrame, index: Index, task) -> DataFrame:
+    """Visitors and rows of every cell in tiles of one part of each side."""
+    spark = visits.sparkSession
+    parallelism = spark.sparkContext.defaultParallelism
+    # at most two rows a pivot reach the driver
+    come = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("visitors")).toPandas()
+    grid = index.bounds.cells[["cell", "rows"]].merge(come, on="cell")
+    if not len(grid):
+        return spark.createDataFrame([], "a long, b long, similarity double")
+    grid["left_parts"] = np.ceil(grid["visitors"] / _part_rows(int(grid["visitors"].sum()), index.dims, parallelism)).astype("i8")
+    grid["right_parts"] = np.ceil(grid["rows"] / _part_rows(index.count, index.dims, 1)).astype("i8")
+    parts = F.broadcast(spark.createDataFrame(grid[["cell", "left_parts", "right_parts"]]).withColumn("cell", F.col("cell").cast("int")))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    left = visits.join(parts, "cell").select("id", "vec", "floor", "own", "cell", part("left_parts").alias("l"), every("right_parts").alias("r"))
+    right = index.rows.select("id", "vec", "cell").join(parts, "cell").select("id", "vec", "cell", every("left_parts").alias("l"), part("right_parts").alias("r"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = []
+        if a.num_rows and b.num_rows:
+            b = b.sort_by("id")
+            b_ids, b_vecs = b.column("id").to_numpy(), _matrix(b.column("vec"), b.num_rows).astype("f8")
+            a_vecs = _matrix(a.column("vec"), a.num_rows)
+            state: dict = {}
+            for start in range(0, a.num_rows, CHUNK_ROWS):
+                own = a.slice(start, CHUNK_ROWS)
+                sims = a_vecs[start : start + CHUNK_ROWS].astype("f8") @ b_vecs.T
+                found += task(own.column("id").to_numpy(), own.column("floor").to_numpy(), own.column("own").to_numpy(), b_ids, sims, state)
+        a_out, b_out, s_out = (np.concatenate(c) for c in zip(*found)) if found else ([], [], [])
+        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64()), "similarity": pa.array(s_out, pa.float64())})
+
+    tile = ["cell", "l", "r"]
+    return left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(run, "a long, b long, similarity double")
+
+
+def _pairs(same: bool):
+    """All pairs at the floor; in the row's own cell only those with a smaller first id."""
+
+    def task(a_ids, floor, own, b_ids, sims, state):
+        hit = np.round(sims, SIMILARITY_DIGITS) >= floor[:, None]
+        if same:
+            hit &= ~own[:, None] | (a_ids[:, None] < b_ids[None, :])
+        i, j = np.nonzero(hit)
+        a, b = a_ids[i], b_ids[j]
+        return [(np.minimum(a, b), np.maximum(a, b), sims[i, j]) if same else (a, b, sims[i, j])]
+
+    return task
+
+
+def _forest(a_ids, floor, own, b_ids, sims, state):
+    """Pairs that connect what the similar pairs of a tile connect."""
+    label = state.setdefault("label", np.arange(len(b_ids)))
+    hit = (np.round(sims, SIMILARITY_DIGITS) >= floor[:, None]) & (a_ids[:, None] != b_ids[None, :])
+    out = []
+    for i in np.flatnonzero(hit.any(axis=1)):
+        cols = np.flatnonzero(hit[i])
+        roots, first = np.unique(label[cols], return_index=True)
+        linked = cols[first]
+        out.append((np.minimum(a_ids[i], b_ids[linked]), np.maximum(a_ids[i], b_ids[linked]), sims[i, linked]))
+        if own[i]:  # the row stands on the other side, too, if it is in this part
+            at = np.searchsorted(b_ids, a_ids[i])
+            if at < len(b_ids) and b_ids[at] == a_ids[i]:
+                roots = np.append(roots, label[at])
+        if len(roots) > 1:
+            label[np.isin(label, roots)] = roots.min()
+    return out
+
+
+def _top(k: int):
+    def task(a_ids, floor, own, b_ids, sims, state):
+        rank = np.round(sims, SIMILARITY_DIGITS)
+        rows, out = np.arange(len(rank)), []
+        for _ in range(min(k, len(b_ids))):
+            best = rank.argmax(axis=1)  # ids ascend, so ties go to the lowest
+            good = rank[rows, best] >= floor
+            if not good.any():
+                break
+            out.append((a_ids[good], b_ids[best[good]], sims[rows[good], best[good]]))
+            rank[rows, best] = -np.inf
+        return out
+
+    return task
+
+
+# --- joins ----------------------------------------------------------------------
 
 
 def _vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -282,28 +313,34 @@ def _vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     )
 
 
+def _empty(vectors: DataFrame) -> DataFrame:
+    return vectors.sparkSession.createDataFrame([], "a long, b long, similarity double")
+
+
 def _self_join(vectors: DataFrame, threshold: float, forest: bool) -> DataFrame:
     vectors = durable(vectors)
-    rows = vectors.count()
-    if rows == 0:
+    index = build_index(vectors, threshold if forest else None)
+    if index is None:
         return _empty(vectors)
-    spark = vectors.sparkSession
-    parallelism = spark.sparkContext.defaultParallelism
-    pivot_ids, pivots = _pivots(vectors, rows, threshold)
-    assigned = _assign(vectors, pivots, threshold)
-    blocks, cells = _blocks(assigned, _block_rows(rows, _dims(pivots), parallelism))
-    pairs = _block_pairs(spark, cells, cells, pivots, threshold, same=True, forest=forest)
-    task = _forest_task(threshold) if forest else _pair_task(threshold, same=True)
-    found = _compare(pairs, blocks, blocks, task, rows * _dims(pivots) * 4 <= BROADCAST_BYTES, 4 * parallelism)
+    bounds = index.bounds
+
+    def choose(columns, vecs):
+        own = columns["cell"]
+        wanted = (bounds.upper(vecs) >= threshold) & (bounds.number[None, :] >= own[:, None])
+        if forest:  # the core of a pivot hangs on the pivot
+            wanted &= ~((bounds.number[None, :] == own[:, None]) & (own % 2 == 1)[:, None])
+        return wanted, bounds.number, own
+
+    visits = _visits(index.rows.select("id", "vec", "cell"), choose, threshold)
+    found = _meet(visits, index, _forest if forest else _pairs(True))
     if not forest:
         return found
     # every core row is linked to its pivot, which is a row of the same table
-    ids = spark.createDataFrame(list(enumerate(pivot_ids)), "cell int, pivot long")
+    ids = vectors.sparkSession.createDataFrame([(2 * p + 1, i) for p, i in enumerate(index.pivot_ids)], "cell int, pivot long")
     stars = (
-        assigned.filter("core")
-        .join(F.broadcast(ids), "cell")
+        index.rows.join(F.broadcast(ids), "cell")
         .filter("id <> pivot")
-        .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), F.col("pivot_similarity").alias("similarity"))
+        .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), F.col("to_pivot").alias("similarity"))
     )
     return found.unionByName(stars)
 
@@ -349,22 +386,13 @@ def cluster_edges(table: DataFrame, threshold: float, id_col: str = "id", vector
     return _self_join(distinct, threshold, forest=True).select("a", "b").unionByName(linked)
 
 
-def _two_sides(left: DataFrame, right: DataFrame, threshold: float, make_task) -> DataFrame:
-    left, right = durable(left), durable(right)
-    left_rows, right_rows = left.count(), right.count()
-    if not left_rows or not right_rows:
-        return _empty(left)
-    spark = left.sparkSession
-    parallelism = spark.sparkContext.defaultParallelism
-    _, pivots = _pivots(right, right_rows, threshold)
-    dims = _dims(pivots)
-    # spread the work over left blocks first: each holds its share of tasks
-    placed = lambda side: _one_cell(side) if threshold <= 0 else _assign(side, pivots, 2.0)
-    left_blocks, left_cells = _blocks(placed(left), _block_rows(left_rows, dims, parallelism))
-    right_blocks, right_cells = _blocks(placed(right), _block_rows(right_rows, dims, 1))
-    pairs = _block_pairs(spark, left_cells, right_cells, pivots, threshold, same=False, forest=False)
-    small = (left_rows + right_rows) * dims * 4 <= BROADCAST_BYTES
-    return _compare(pairs, left_blocks, right_blocks, make_task, small, 4 * parallelism)
+def reaching(rows: DataFrame, bounds: Bounds, threshold: float) -> DataFrame:
+    """(id, vec) rows once for each cell that may hold a row at the threshold."""
+
+    def choose(columns, vecs):
+        return bounds.upper(vecs) >= threshold, bounds.number, np.full(len(vecs), -1)
+
+    return _visits(rows, choose, threshold)
 
 
 def pairs_between(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -372,20 +400,45 @@ def pairs_between(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
 
     Both tables are (id, embedding).
     """
-    return _two_sides(
-        _vectors(left, "id", "embedding"), _vectors(right, "id", "embedding"), threshold,
-        _pair_task(threshold, same=False),
-    )
+    left, right = durable(_vectors(left, "id", "embedding")), durable(_vectors(right, "id", "embedding"))
+    index = build_index(right)
+    return _empty(left) if index is None else _meet(reaching(left, index.bounds, threshold), index, _pairs(False))
+
+
+def home_visits(left: DataFrame, bounds: Bounds, floor: float) -> DataFrame:
+    """(id, vec) rows at the cell of their nearest pivot."""
+
+    def choose(columns, vecs):
+        return bounds.number[None, :] // 2 == bounds.home(vecs)[:, None], bounds.number, np.full(len(vecs), -1)
+
+    return _visits(left, choose, floor)
+
+
+def further_visits(left: DataFrame, bounds: Bounds) -> DataFrame:
+    """(id, vec, floor) rows at the other cells that may hold a row at their floor."""
+
+    def choose(columns, vecs):
+        home = bounds.number[None, :] // 2 == bounds.home(vecs)[:, None]
+        return ~home & (bounds.upper(vecs) >= columns["floor"][:, None]), bounds.number, np.full(len(vecs), -1)
+
+    return _visits(left, choose)
 
 
 def top_matches(left: DataFrame, right: DataFrame, k: int, min_similarity: float = -1.0) -> DataFrame:
     """The ``k`` most similar right rows per left row: (a, b, similarity, rank).
 
-    Order: similarity (compared at six decimals), then lowest right id.
+    Order: similarity (compared at six decimals), then lowest right id.  Each
+    row meets its home cell first; another cell is visited only if its bound
+    reaches the k-th best similarity found there.
     """
-    found = _two_sides(
-        _vectors(left, "id", "embedding"), _vectors(right, "id", "embedding"), min_similarity,
-        _top_task(k, min_similarity),
-    )
+    left, right = durable(_vectors(left, "id", "embedding")), durable(_vectors(right, "id", "embedding"))
     order = [F.round("similarity", SIMILARITY_DIGITS).desc(), F.col("b").asc()]
-    return first_per_group(found, ["a"], order, k, "rank")
+    index = build_index(right)
+    if index is None:
+        return first_per_group(_empty(left), ["a"], order, k, "rank")
+    near = durable(first_per_group(_meet(home_visits(left, index.bounds, min_similarity), index, _top(k)), ["a"], order, k))
+    kth = near.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min(F.round("similarity", SIMILARITY_DIGITS)).alias("least"))
+    floor = F.when(F.col("n") >= k, F.greatest("least", F.lit(float(min_similarity)))).otherwise(float(min_similarity))
+    rest = left.join(kth, left["id"] == kth["a"], "left").select("id", "vec", floor.alias("floor"))
+    far = _meet(further_visits(durable(rest), index.bounds), index, _top(k))
+    return first_per_group(near.unionByName(far), ["a"], order, k, "rank")

@@ -41,10 +41,9 @@ def small_blocks(monkeypatch):
     monkeypatch.setattr(S, "MIN_BLOCK_ROWS", 20)
 
 
-@pytest.mark.parametrize("threshold, small", [(0.9, True), (0.99, False), (0.5, True)])
-def test_pairs_equal_brute_force(spark, monkeypatch, threshold, small):
-    if not small:
-        monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
+@pytest.mark.parametrize("threshold, block", [(0.9, 16 << 20), (0.99, 640), (0.5, 16 << 20)])
+def test_pairs_equal_brute_force(spark, monkeypatch, threshold, block):
+    monkeypatch.setattr(S, "BLOCK_BYTES", block)
     m = make_vectors(300)
     lowest = {}
     for i, v in enumerate(m):
@@ -88,10 +87,9 @@ def test_cluster_edges_connect_what_all_pairs_connect(spark, threshold):
     assert got == {i: r for i, r in enumerate(want) if want.count(r) > 1}
 
 
-@pytest.mark.parametrize("k, cutoff, small", [(1, -1.0, True), (3, 0.35, False), (3, 0.9, True)])
-def test_top_matches_equal_brute_force(spark, monkeypatch, k, cutoff, small):
-    if not small:
-        monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
+@pytest.mark.parametrize("k, cutoff, block", [(1, -1.0, 16 << 20), (3, 0.35, 640), (3, 0.9, 16 << 20)])
+def test_top_matches_equal_brute_force(spark, monkeypatch, k, cutoff, block):
+    monkeypatch.setattr(S, "BLOCK_BYTES", block)
     left, right = make_vectors(90, seed=3), make_vectors(200, seed=4)
     sims = np.round(left.astype("f8") @ right.astype("f8").T, 6)
     want = set()
@@ -102,6 +100,53 @@ def test_top_matches_equal_brute_force(spark, monkeypatch, k, cutoff, small):
     assert got == want
 
 
+def clustered(n, dims, groups, seed):
+    """Sparse rows of word buckets: few buckets each, groups apart."""
+    rng = np.random.default_rng(seed)
+    rows = np.zeros((n, dims), "f8")
+    for i in range(n):
+        group = i % groups
+        rows[i, rng.choice(np.arange(group * dims // groups, (group + 1) * dims // groups), 5, replace=False)] = rng.integers(1, 4, 5)
+        rows[i, rng.integers(dims)] += 1
+    return (rows / np.linalg.norm(rows, axis=1)[:, None]).astype("f4")
+
+
+@pytest.mark.parametrize("k, cutoff", [(1, -1.0), (3, 0.35)])
+def test_best_matches_visit_few_cells(spark, k, cutoff):
+    left, right = clustered(60, 64, 8, 1), clustered(400, 64, 8, 2)
+    a, b = (S._vectors(frame(spark, m), "id", "embedding") for m in (left, right))
+    index = S.build_index(b)
+    size = dict(zip(index.bounds.cells["cell"], index.bounds.cells["rows"]))
+    near = S.home_visits(a, index.bounds, cutoff).select("id", "cell").collect()
+    sims = np.round(left.astype("f8") @ right.astype("f8").T, 6)
+    home = {r.id: r.cell for r in near}
+    cells = {r.id: r.cell for r in index.rows.select("id", "cell").collect()}
+    floors = []
+    for i in range(60):
+        there = sorted((sims[i, j] for j in range(400) if cells[j] == home[i]), reverse=True)[:k]
+        floors.append((i, left[i].tolist(), float(max(cutoff, there[-1]) if len(there) == k else cutoff)))
+    far = S.further_visits(spark.createDataFrame(floors, "id long, vec array<float>, floor double"), index.bounds).select("id", "cell").collect()
+    compared = sum(size[r.cell] for r in near) + sum(size[r.cell] for r in far)
+    assert compared < 0.6 * 60 * 400
+    want = set()
+    for i in range(60):
+        order = sorted(range(400), key=lambda j: (-sims[i, j], j))[:k]
+        want |= {(i, j, r + 1) for r, j in enumerate(order) if sims[i, j] >= cutoff}
+    got = {(r.a, r.b, r["rank"]) for r in S.top_matches(frame(spark, left), frame(spark, right), k, cutoff).collect()}
+    assert got == want
+
+
+def test_bounds_hold_for_every_row(spark):
+    m = make_vectors(300, seed=8)
+    m[7] *= 3
+    index = S.build_index(S._vectors(frame(spark, m), "id", "embedding"), 0.9)
+    cells = {r.id: r.cell for r in index.rows.select("id", "cell").collect()}
+    upper = index.bounds.upper(m.astype("f8"))
+    place = {c: n for n, c in enumerate(index.bounds.number)}
+    for j in range(300):
+        assert (m.astype("f8") @ m[j].astype("f8") <= upper[:, place[cells[j]]]).all()
+
+
 def test_empty_sides(spark):
     empty = spark.createDataFrame([], "id long, embedding array<float>")
     some = frame(spark, make_vectors(5))
