@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from answerloom.operators.skew import lookup
 from answerloom.session import durable
 
 
@@ -16,7 +17,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
         .agg(F.min("seen").alias("root"))
     )
     return (
-        edges.join(smallest.withColumnRenamed("node", "lo"), "lo")
+        lookup(edges, smallest.withColumnRenamed("node", "lo"), ["lo"], "inner")
         .select(F.col("root").alias("lo"), "hi")
         .distinct()
     )
@@ -25,7 +26,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Hang every smaller neighbour, and the centre, on the smallest of them."""
     smallest = edges.groupBy("hi").agg(F.min("lo").alias("root"))
-    moved = edges.join(smallest, "hi").select(F.col("root").alias("lo"), F.col("lo").alias("hi"))
+    moved = lookup(edges, smallest, ["hi"], "inner").select(F.col("root").alias("lo"), F.col("lo").alias("hi"))
     centres = smallest.select(F.col("root").alias("lo"), "hi")
     return moved.unionByName(centres).filter("lo <> hi").distinct()
 
@@ -39,14 +40,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(id, root) for every node with an edge; the root is the lowest id.
 
     Each round is two joins and aggregations on node ids and goes to reliable
-    storage; only a count and a checksum reach the driver.
+    storage; only a count, a checksum and the centres of hot stars (at most 100)
+    reach the driver.  The edges of a hot star meet a broadcast of its new root.
     """
     current = durable(
         edges.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
     )
     stamp = _stamp(current)
     while stamp[0]:
-        current = durable(_small_star(_large_star(current)))
+        current = durable(_small_star(durable(_large_star(current))))
         previous, stamp = stamp, _stamp(current)
         if stamp == previous:
             break

@@ -11,6 +11,7 @@ from answerloom.operators.audit import audit_rows, timestamp
 from answerloom.operators.knowledge import exact_upsert
 from answerloom.operators.matching import live
 from answerloom.operators.ranking import with_positions
+from answerloom.operators.skew import lookup
 from answerloom.session import durable
 
 
@@ -101,11 +102,11 @@ def sync_flags(flags: DataFrame, kb: DataFrame, now, job_id: int | None = None)
     last), then the highest id.
     """
     latest = F.struct(F.col("updated_at").isNotNull().alias("known"), "updated_at", "id")
-    lookup = live(kb).groupBy(X.question_key(F.col("question")).alias("question_key")).agg(
+    answers = live(kb).groupBy(X.question_key(F.col("question")).alias("question_key")).agg(
         F.max_by("answer", latest).alias("_answer"), F.lit(True).alias("_known")
     )
     scope = ~F.col("resolved") if job_id is None else (~F.col("resolved") & (F.col("job_id") == job_id))
-    rows = keyed(flags).join(lookup, "question_key", "left").withColumn("_open", scope).withColumn(
+    rows = lookup(keyed(flags), answers, ["question_key"]).withColumn("_open", scope).withColumn(
         "_synced", F.col("_open") & F.col("_known").isNotNull()
     )
     after = rows.select(
@@ -171,7 +172,7 @@ def resolve_flags(
     good = checked.filter(F.col("error").isNull())
     expert = F.when(F.col("add_to_kb"), X.route_sme(F.col("category"), sme_map or {}))
     new = good.select("question_key", F.col("answer").alias("_answer"), expert.alias("_expert"), F.lit(True).alias("_hit"))
-    joined = marked.join(new, "question_key", "left").withColumn("_now", F.col("_hit").isNotNull() & ~F.col("resolved"))
+    joined = lookup(marked, new, ["question_key"]).withColumn("_now", F.col("_hit").isNotNull() & ~F.col("resolved"))
     take = lambda value, column: F.when(F.col("_now"), value).otherwise(F.col(column))
     after = joined.withColumns(
         {
@@ -182,7 +183,7 @@ def resolve_flags(
         }
     ).select(*flags.columns)
     wordings = (
-        open_.join(good.filter("add_to_kb").select("question_key", "flag_id", "answer", "category"), "question_key")
+        lookup(open_, good.filter("add_to_kb").select("question_key", "flag_id", "answer", "category"), ["question_key"], "inner")
         .groupBy("question_key", "extracted_question")
         .agg(F.min("id").alias("row_no"), F.first("answer").alias("answer"), F.first("category").alias("category"))
         .select("row_no", F.col("extracted_question").alias("question"), "answer", X.strip(F.col("category")).alias("category"))

@@ -60,34 +60,18 @@ def fill_requests(
 def number_pairs(pairs: DataFrame, size: int = K.PAIRS_PER_REQUEST) -> DataFrame:
     """Pairs with batch_no and pair_index (0-based within the batch), ordered by ids.
 
-    Pairs are numbered by first entry: counts per first entry are summed up in
-    value ranges, and a pair's place among its first entry's pairs is added.
+    Pairs are numbered by first entry: counts per first entry are summed up over
+    ranges, and a pair's place among its first entry's pairs is added.
     """
     inner = with_positions(pairs, ["entry_a_id"], "entry_b_id", "_inner")
     sizes = pairs.groupBy("entry_a_id").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = _running_total(sizes, "entry_a_id", "_n")
+    offsets = running_total(sizes, "entry_a_id", F.col("_n"), "_before").drop("_n")
     at = F.col("_before") + F.col("_inner") - 1
     return inner.join(offsets, "entry_a_id").select(
         *pairs.columns, F.floor(at / size).cast("long").alias("batch_no"), (at % size).cast("int").alias("pair_index")
     )
 
 
-def _running_total(rows: DataFrame, order: str, amount: str, width: int = 65_536) -> DataFrame:
-    """(order, _before): sum of the amounts of all smaller order values."""
-    from pyspark.sql import Window
-
-    ranged = rows.withColumn("_range", F.floor(F.col(order) / width))
-    ranges = ranged.groupBy("_range").agg(F.sum(amount).alias("_sum"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    starts = ranges.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        ranged.withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-        .join(starts, "_range")
-        .select(order, (F.col("_start") + F.col("_inside")).alias("_before"))
-    )
-
-
 def classify_requests(pairs: DataFrame, kb: DataFrame, size: int = K.PAIRS_PER_REQUEST) -> DataFrame:
     """(batch_no, n_pairs, payload JSON): pairs (entry_a_id, entry_b_id, similarity) in tens."""
     entry = lambda s: kb.select(

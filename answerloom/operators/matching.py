@@ -13,6 +13,7 @@ from answerloom.functions import text as X
 from answerloom.functions.vectors import hashed_embedding
 from answerloom.operators.ranking import first_per_group
 from answerloom.operators.similarity import top_matches
+from answerloom.operators.skew import lookup
 from answerloom.session import durable
 
 
@@ -49,7 +50,7 @@ def best_match(questions: DataFrame, kb: DataFrame, embed=hashed_embedding) -> D
     found = top_by_wording(questions, kb, 1, -1.0, embed).drop("rank")
     entries = live(kb).select(F.col("id").alias("kb_id"), F.col("question").alias("kb_question"), F.col("answer").alias("kb_answer"))
     return (
-        questions.join(found.join(entries, "kb_id"), "question_text", "left")
+        lookup(questions, found.join(entries, "kb_id"), ["question_text"])
         .withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     )
 
@@ -103,7 +104,8 @@ def match_cascade(
     """
     best = best_match(questions, kb, embed)
     keyed = best.withColumn("question_key", X.question_key(F.col("question_text")))
-    joined = keyed.join(resolved_answers(flags), "question_key", "left")
+    asked = questions.select(X.question_key(F.col("question_text")).alias("question_key"))
+    joined = lookup(keyed, resolved_answers(flags), ["question_key"], counted=asked)
     hit = F.col("kb_id").isNotNull() & at_least(F.col("similarity"), threshold)
     reused = ~hit & F.col("resolved_answer").isNotNull()
     kept = [c for c in questions.columns if c not in ("answer_text", "confidence", "matched_qa_id", "matched_source", "embedding")]
@@ -174,15 +176,14 @@ def propagate(items: DataFrame) -> DataFrame:
 
 def prefill(items: DataFrame, template_answers: DataFrame, template_id: int) -> DataFrame:
     """Answer open items whose key a template has; the later template row wins."""
-    lookup = (
+    answers = (
         template_answers.filter(F.col("template_id") == template_id)
         .groupBy(X.question_key(F.col("question_text")).alias("_key"))
         .agg(F.max_by("answer_text", "id").alias("_answer"))
     )
     open_ = F.col("answer_text").isNull() & F.col("_answer").isNotNull()
     return (
-        items.withColumn("_key", X.question_key(F.col("question_text")))
-        .join(lookup, "_key", "left")
+        lookup(items.withColumn("_key", X.question_key(F.col("question_text"))), answers, ["_key"])
         .withColumns(
             {
                 "answer_text": F.when(open_, F.col("_answer")).otherwise(F.col("answer_text")),
@@ -215,10 +216,9 @@ def rebuild_flags(items: DataFrame, prior_flags: DataFrame) -> DataFrame:
         .groupBy("doc_id", "_key")
         .agg(F.max_by(F.struct("context", "similarity_score", "best_match_question"), rank).alias("_prior"))
     )
+    open_ = items.filter(F.col("answer_text").isNull()).withColumn("_key", X.question_key(F.col("question_text")))
     return (
-        items.filter(F.col("answer_text").isNull())
-        .withColumn("_key", X.question_key(F.col("question_text")))
-        .join(prior, ["doc_id", "_key"], "left")
+        lookup(open_, prior, ["doc_id", "_key"])
         .select(
             F.col("doc_id").alias("job_id"), "question_index", F.col("question_text").alias("extracted_question"),
             "_prior.context", "_prior.similarity_score", "_prior.best_match_question", F.lit(False).alias("resolved"),

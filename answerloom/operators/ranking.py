@@ -4,9 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from answerloom.session import durable
+
 BUCKET_WIDTH = 65_536
 
 
+def running_total(rows: DataFrame, order: str, amount: Column, name: str = "before") -> DataFrame:
+    """Add the sum of the amounts of all rows with a smaller ``order``, which must be unique.
+
+    Rows are dealt by ranges of ``order`` and summed within a range; only the
+    sums of the ranges, one number for each partition, reach the driver.
+    """
+    placed = durable(rows.withColumn("_amount", amount).repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    sums = sorted(map(tuple, placed.groupBy("_range").agg(F.sum("_amount")).collect()))
+    starts, start = [], 0
+    for number, own in sums:
+        starts.append((number, start))
+        start += own
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(starts, "_range int, _start long"))
+    return (
+        placed.withColumn("_inside", F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
+        .join(offsets, "_range")
+        .withColumn(name, (F.col("_start") + F.col("_inside")).cast("long"))
+        .drop("_range", "_amount", "_inside", "_start")
+    )
+
+
 def with_positions(
     df: DataFrame, groups: list[str], order: str, name: str = "position", width: int = BUCKET_WIDTH
 ) -> DataFrame:
@@ -14,8 +38,11 @@ def with_positions(
 
     ``order`` must be unique within a group.  A group is cut into value ranges
     of ``width``; ranges are numbered separately and shifted by the row count
-    of the ranges before them, so no task sorts more than one range.
+    of the ranges before them, so no task sorts more than one range.  Without
+    groups the ranges are those of a range partitioning.
     """
+    if not groups:
+        return running_total(df, order, F.lit(1), "_before").withColumn(name, F.col("_before") + 1).drop("_before")
     keyed = df.withColumn("_bucket", F.floor(F.col(order) / width).cast("long"))
     counts = keyed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = (
