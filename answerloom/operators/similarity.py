@@ -148,6 +148,12 @@ def _cells(assigned: DataFrame, pivots: np.ndarray) -> pd.DataFrame:
         if found:
             yield _cell_batch(found)
 
+    return merged_cells(assigned.select("vec", "cell").mapInArrow(part, CELL))
+
+
+def merged_cells(parts: DataFrame) -> pd.DataFrame:
+    """One row for each cell of partial bounds, by number."""
+
     def whole(key: tuple[pa.Scalar, ...], given: pa.Table) -> pa.Table:
         merged = None
         for row in given.to_pylist():
@@ -155,7 +161,6 @@ def _cells(assigned: DataFrame, pivots: np.ndarray) -> pd.DataFrame:
             merged = new if merged is None else _merged(merged, new)
         return pa.Table.from_batches([_cell_batch({key[0].as_py(): merged})])
 
-    parts = assigned.select("vec", "cell").mapInArrow(part, CELL)
     return parts.groupBy("cell").applyInArrow(whole, CELL).toPandas().sort_values("cell", ignore_index=True)
 
 
