@@ -21,15 +21,16 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 BASE = np.uint64(0xD1342543DE82EF95)
 _VALUES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = np.ones(1, np.uint64)
+#: BASE times this is 1, modulo 2**64.
+UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_powers = {BASE: np.ones(1, np.uint64), UNBASE: np.ones(1, np.uint64)}
 
 
-def powers(size: int) -> np.ndarray:
-    """BASE to the powers 0 .. size - 1, modulo 2**64."""
-    global _powers
-    while len(_powers) < size:
-        _powers = np.concatenate([_powers, _powers * (_powers[-1:] * BASE)])
-    return _powers[:size]
+def powers(size: int, base: np.uint64 = BASE) -> np.ndarray:
+    """The base to the powers 0 .. size - 1, modulo 2**64."""
+    while len(_powers[base]) < size:
+        _powers[base] = np.concatenate([_powers[base], _powers[base] * (_powers[base][-1:] * base)])
+    return _powers[base][:size]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -47,8 +48,8 @@ def prefix_sums(values: np.ndarray) -> np.ndarray:
 
 
 def stretch(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the stretches [start, end) that do not depend on where they stand."""
-    return (sums[end] - sums[start]) * powers(len(sums))[len(sums) - 1 - start]
+    """Hashes of the stretches [start, end) that do not depend on where they stand or in which array."""
+    return (sums[end] - sums[start]) * powers(len(sums), UNBASE)[start]
 
 
 @dataclass
