@@ -94,14 +94,15 @@ def exact_key(text: Column) -> Column:
     return F.lower(strip(_or_empty(text)))
 
 
+def asks(text: Column) -> Column:
+    """Whether a text reads like a question, whatever its length."""
+    stripped = strip(text)
+    return _any_match(stripped, QUESTION + LABEL) & ~_any_match(stripped, NOT_QUESTION)
+
+
 def is_question(text: Column, min_length: Column | int = K.MIN_QUESTION_LENGTH) -> Column:
     limit = F.lit(min_length) if isinstance(min_length, int) else min_length
-    stripped = strip(text)
-    return (
-        (F.char_length(stripped) >= limit)
-        & _any_match(stripped, QUESTION + LABEL)
-        & ~_any_match(stripped, NOT_QUESTION)
-    )
+    return (F.char_length(strip(text)) >= limit) & asks(text)
 
 
 def is_question_header(text: Column) -> Column:

@@ -14,6 +14,7 @@ from answerloom.operators.components import connected_components
 from answerloom.operators.matching import live
 from answerloom.operators.ranking import page as _page, with_positions
 from answerloom.operators.similarity import cluster_edges, pairs_between
+from answerloom.operators.skew import lookup
 from answerloom.session import durable
 
 PAIR_CHUNK = 512
@@ -176,6 +177,30 @@ def apply_classifications(pairs: DataFrame, responses: DataFrame) -> DataFrame:
     )
 
 
+def record_classifications(reviews: DataFrame, classified: DataFrame, now) -> DataFrame:
+    """Reviews after the verdicts on open pairs (batch_no, pair_index, entry_a_id, entry_b_id, similarity, review_id, verdict columns).
+
+    A pair without a review gets one, numbered after the highest id in the order
+    of the batches, also where the model gave no verdict; a known review takes the
+    verdict, if there is one.
+    """
+    verdict = ["classification", "reason", "recommended_keep_id", "contradicts"]
+    given = durable(classified)
+    news = given.filter(F.col("review_id").isNotNull() & F.col("classification").isNotNull()).select(
+        F.col("review_id").alias("id"), *[F.col(c).alias(f"_{c}") for c in verdict], F.lit(True).alias("_hit")
+    )
+    known = reviews.join(news, "id", "left").withColumns({c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in verdict}).select(*REVIEW_COLUMNS)
+    fresh = given.filter(F.col("review_id").isNull()).withColumn("_at", F.col("batch_no") * K.PAIRS_PER_REQUEST + F.col("pair_index"))
+    top = reviews.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    none = lambda kind: F.lit(None).cast(kind)
+    added = with_positions(fresh, [], "_at", "_position").select(
+        (top + F.col("_position")).alias("id"), "entry_a_id", "entry_b_id", F.col("similarity").alias("similarity_score"), *verdict,
+        F.lit("pending").alias("status"), none("string").alias("reviewed_action"), F.lit("manual_scan").alias("source"),
+        timestamp(now).alias("created_at"), none("timestamp_ntz").alias("reviewed_at"),
+    )
+    return known.unionByName(added.select(*REVIEW_COLUMNS))
+
+
 def _live_reviews(reviews: DataFrame, kb: DataFrame) -> DataFrame:
     ids = live(kb).select("id")
     return reviews.join(ids.withColumnRenamed("id", "entry_a_id"), "entry_a_id", "left_semi").join(
@@ -212,6 +237,48 @@ def recommended_actions(reviews: DataFrame) -> DataFrame:
     return judged.select(F.col("id").alias("review_id"), action.alias("action"))
 
 
+def _first_two(rows: DataFrame, key: str, tag: str) -> DataFrame:
+    """Per key the two smallest ``seq`` and the smallest that is certain."""
+    first = rows.groupBy(key).agg(F.min("seq").alias(f"lo_{tag}"), F.min(F.when(F.col("ok"), F.col("seq"))).alias(f"hi_{tag}"))
+    later = lookup(rows, first, [key], "inner").filter(F.col("seq") > F.col(f"lo_{tag}")).groupBy(key).agg(F.min("seq").alias(f"next_{tag}"))
+    return first.join(later, key, "left")
+
+
+def _settle(state: DataFrame) -> DataFrame:
+    """Actions whose earlier rivals decide them; one with a single open rival points at it."""
+    open_ = state.filter(F.col("ok").isNull() | F.col("ok"))
+    deleting = durable(_first_two(open_.filter(F.col("doomed").isNotNull()).select(F.col("doomed").alias("entry"), "seq", "ok"), "entry", "e"))
+    turns = _first_two(open_.select("review_id", "seq", "ok"), "review_id", "r")
+    looked = state
+    for s in ("a", "b"):
+        side = deleting.select(F.col("entry").alias(f"entry_{s}_id"), *[F.col(f"{n}_e").alias(f"{n}_{s}") for n in ("lo", "next", "hi")])
+        looked = lookup(looked, side, [f"entry_{s}_id"], counted=state)
+    looked = lookup(looked, turns, ["review_id"], counted=state)
+    every = lambda *names: F.array(*[F.col(f"{n}_{s}") for n in names for s in ("a", "b", "r")])
+    earlier = lambda places: F.array_distinct(F.filter(places, lambda x: x < F.col("seq")))
+    rivals = earlier(every("lo", "next"))
+    verdict = F.when(F.col("ok").isNotNull(), F.col("ok")).when(F.size(earlier(every("hi"))) > 0, False).when(F.size(rivals) == 0, True)
+    single = F.col("ptr").isNull() & (F.size(rivals) == 1)
+    return looked.select(
+        *[c for c in state.columns if c not in ("ok", "ptr", "flip")], verdict.alias("ok"),
+        F.when(single, F.get(rivals, F.lit(0))).otherwise(F.col("ptr")).alias("ptr"), (F.col("flip") | single).alias("flip"),
+    )
+
+
+def _jump(state: DataFrame) -> DataFrame:
+    """Actions that point at a settled one are settled, others point where their target points."""
+    target = state.select(F.col("seq").alias("ptr"), F.col("ok").alias("_ok"), F.col("ptr").alias("_ptr"), F.col("flip").alias("_flip"))
+    past = F.col("_ok").isNull() & F.col("_ptr").isNotNull()
+    return durable(
+        lookup(state, target, ["ptr"]).select(
+            *[c for c in state.columns if c not in ("ok", "ptr", "flip")],
+            F.coalesce("ok", F.when(F.col("_ok").isNotNull(), F.col("flip") != F.col("_ok"))).alias("ok"),
+            F.when(past, F.col("_ptr")).otherwise(F.col("ptr")).alias("ptr"),
+            F.when(past, F.col("flip") != F.col("_flip")).otherwise(F.col("flip")).alias("flip"),
+        )
+    )
+
+
 def apply_review_actions(
     reviews: DataFrame, kb: DataFrame, actions: DataFrame, now
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -220,9 +287,12 @@ def apply_review_actions(
     An action succeeds when its review is pending and both entries are live at
     its turn, that is, when no earlier successful action deleted one of them or
     closed the review.  Rounds settle every action whose earlier rivals are
-    settled: per entry only the first certain and the first possible deletion
-    matter, so each round is a few minimum aggregations.  ``merge`` keeps the
-    recommended left entry, otherwise the right one.
+    settled: per entry only the first certain and the first two possible deletions
+    matter, so each round is a few minimum aggregations.  An action with one open
+    rival succeeds exactly if that one fails; such chains are halved in every round
+    by pointing each action past its rival, so a chain of n actions takes about
+    log2(n) rounds.  ``merge`` keeps the recommended left entry, otherwise the
+    right one.
     """
     alive = live(kb).select("id", F.lit(True).alias("_live"))
     base = (
@@ -235,24 +305,10 @@ def apply_review_actions(
     )
     doomed = F.when(F.col("action") == "keep_both", None).when(keeps_left, F.col("entry_b_id")).otherwise(F.col("entry_a_id"))
     able = F.coalesce(F.col("status") == "pending", F.lit(False)) & F.coalesce("_live_a", F.lit(False)) & F.coalesce("_live_b", F.lit(False))
-    state = durable(base.withColumn("doomed", doomed).withColumn("ok", F.when(~able, False)))
+    start = base.withColumns({"doomed": doomed, "ok": F.when(~able, False), "ptr": F.lit(None).cast("long"), "flip": F.lit(False)})
+    state = durable(start.withColumn("seq", F.col("seq").cast("long")))
     while True:
-        maybe = F.col("ok").isNull() | F.col("ok")
-        bounds = state.filter(maybe & F.col("doomed").isNotNull()).groupBy(F.col("doomed").alias("entry")).agg(
-            F.min("seq").alias("lo"), F.min(F.when(F.col("ok"), F.col("seq"))).alias("hi")
-        )
-        turns = state.filter(maybe).groupBy(F.col("review_id").alias("turn")).agg(
-            F.min("seq").alias("lo_r"), F.min(F.when(F.col("ok"), F.col("seq"))).alias("hi_r")
-        )
-        side = lambda s: bounds.select(F.col("entry").alias(f"entry_{s}_id"), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
-        looked = state.join(side("a"), "entry_a_id", "left").join(side("b"), "entry_b_id", "left").join(
-            turns, state["review_id"] == turns["turn"], "left"
-        )
-        before = lambda name: F.coalesce(F.col(name) < F.col("seq"), F.lit(False))
-        lost = before("hi_a") | before("hi_b") | before("hi_r")
-        clear = ~before("lo_a") & ~before("lo_b") & ~before("lo_r")
-        verdict = F.when(F.col("ok").isNotNull(), F.col("ok")).when(lost, False).when(clear, True)
-        state = durable(looked.select(*[c for c in state.columns if c != "ok"], verdict.alias("ok")))
+        state = _jump(durable(_settle(state)))
         if not state.filter(F.col("ok").isNull()).limit(1).count():
             break
     won = state.filter("ok")

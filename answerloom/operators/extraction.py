@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from answerloom import constants as K
 from answerloom.functions import text as X
 from answerloom.operators.ranking import first_per_group
+from answerloom.operators.skew import lookup
 from answerloom.session import durable
 
 GRID = ["doc_id"]
@@ -164,10 +165,12 @@ def infer_mapping(cells: DataFrame, keys: list[str], skip_blank: bool, max_heade
             )
         else:
             candidates = candidates.filter(F.col("row_idx") >= o("header_rows"))
+    asks = F.col("f_asks") if "f_asks" in cells.columns else F.transform("cells", X.asks)
     asked = candidates.select(
-        *keys, stripped.alias("texts"), o("min_question_length").alias("shortest"),
+        *keys, stripped.alias("texts"), asks.alias("f_asks"), o("min_question_length").alias("shortest"),
     ).select(
-        "*", F.posexplode(F.transform("texts", lambda c: X.is_question(c, F.col("shortest")))).alias("q", "asks"),
+        *keys, "texts", "shortest",
+        F.posexplode(F.zip_with("texts", "f_asks", lambda c, a: a & (F.char_length(X.strip(c)) >= F.col("shortest")))).alias("q", "asks"),
     ).filter(F.col("asks") & (F.col("q") < F.size("texts") - 1))
     pairs = asked.select("*", F.explode(F.sequence(F.col("q") + 1, F.size("texts") - 1)).alias("a")).filter(
         F.char_length(F.get("texts", F.col("a"))) < 3
@@ -426,20 +429,56 @@ def score_sheets(stats: DataFrame) -> DataFrame:
     )
 
 
-def profile_report(cells: DataFrame, profiles: list[str] | None = None) -> DataFrame:
-    """Extraction of delimited files under every profile, side by side."""
-    swept = sweep(cells, profiles)
+def profile_report(cells: DataFrame, profiles: list[str] | None = None, errors: DataFrame | None = None) -> DataFrame:
+    """Extraction of delimited files under every profile, side by side.
+
+    What a cell looks like is found once and kept as flags; the profiles only
+    choose among the flags, so no cell is copied for a profile.  Profiles that
+    infer their columns share one inference.  ``errors`` are (doc_id, error) of
+    files that could not be read: each profile fails on them.
+    """
+    names = profiles or list(K.PROFILE_OVERRIDES)
+    options = {name: K.profile_options(name) for name in names}
+    most_headers = max(1, *(o["header_rows"] for o in options.values()))
+    seen = durable(cells.select("doc_id", "row_idx", "cells", F.transform("cells", X.asks).alias("f_asks"), _filled().alias("f_filled")))
+    rows = seen.filter("f_filled").drop("f_filled")
+    starts = _header_boundary(rows, GRID, most_headers).groupBy(*GRID).agg(F.sort_array(F.collect_list("row_idx")).alias("_starts"))
+    plans, per_doc, inferred = [], starts, {}
+    for name in names:
+        own = options[name]
+        ask = (own["header_rows"], own["question_column_index"], own["answer_column_index"], own["min_question_length"])
+        if own["auto_detect_columns"] and ask not in inferred:
+            tag = inferred[ask] = f"_m{len(inferred)}"
+            columns = infer_mapping(with_options(rows, name), GRID, skip_blank=True, max_header_rows=own["header_rows"])
+            per_doc = per_doc.join(columns.select("doc_id", F.struct("q_col", "a_col", "header_rows").alias(tag)), "doc_id")
+        place = lambda field, value: F.col(f"{inferred[ask]}.{field}") if own["auto_detect_columns"] else F.lit(value)  # noqa: E731, B023
+        plans.append(F.struct(
+            F.lit(name).alias("profile_name"), place("q_col", own["question_column_index"]).cast("int").alias("q"),
+            place("a_col", own["answer_column_index"]).cast("int").alias("a"), place("header_rows", own["header_rows"]).cast("int").alias("h"),
+            F.lit(own["allow_additional_columns"]).alias("wide"), F.lit(own["min_question_length"]).alias("shortest"),
+        ))
+    planned = per_doc.select("doc_id", "_starts", F.array(*plans).alias("_plans"))
+    last_header = lambda p: F.get("_starts", F.least(p["h"], F.size("_starts")) - 1)
+    text = lambda p: X.strip(F.get("cells", p["q"]))
+    taken = lambda p: (
+        (F.size("cells") > F.greatest(p["q"], p["a"])) & (p["wide"] | (F.size("cells") <= F.greatest(p["q"], p["a"]) + 1))
+        & ((p["h"] == 0) | (F.col("row_idx") > last_header(p))) & F.get("f_asks", p["q"]) & (F.char_length(text(p)) >= p["shortest"])
+    )
+    hits = F.transform(F.filter("_plans", taken), lambda p: F.struct(p["profile_name"].alias("profile_name"), text(p).alias("question_text")))
+    items = durable(lookup(rows, planned, GRID, "inner").select("doc_id", F.col("row_idx").alias("question_row_idx"), F.explode(hits).alias("i")).select("doc_id", "question_row_idx", "i.*"))
     keys = ["doc_id", "profile_name"]
-    header_rows = max(K.profile_options(p)["header_rows"] for p in profiles or K.PROFILE_OVERRIDES)
-    items = durable(extract_grid(swept, keys, header_rows))  # counted and sampled
-    report = score_parse(parse_stats(keys, rows=swept, table_items=items))
+    scanned = seen.groupBy("doc_id").agg(F.count(F.lit(1)).alias("table_rows_scanned"))
+    grid = scanned.select("*", F.explode(F.array(*map(F.lit, names))).alias("profile_name"))
+    found = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("table_items"))
+    none = F.lit(0).cast("long")
+    stats = grid.join(found, keys, "left").withColumns({"table_items": F.coalesce("table_items", none), "text_items": none}).withColumn("items_total", F.col("table_items"))
     samples = (
         first_per_group(items, keys, [F.col("question_row_idx")], K.SAMPLE_QUESTIONS, "rank")
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("rank", "question_text"))).alias("sample"))
         .select(*keys, F.transform("sample", lambda s: s["question_text"]).alias("sample_questions"))
     )
-    return report.join(samples, keys, "left").select(
+    report = score_parse(stats).join(samples, keys, "left").select(
         *keys,
         F.col("items_total").alias("question_count"),
         "confidence",
@@ -449,6 +488,14 @@ def profile_report(cells: DataFrame, profiles: list[str] | None = None) -> DataF
         F.coalesce("sample_questions", F.array().cast("array<string>")).alias("sample_questions"),
         F.lit(None).cast("string").alias("error_message"),
     )
+    if errors is None:
+        return report
+    failed = errors.select(
+        "doc_id", F.explode(F.array(*map(F.lit, names))).alias("profile_name"), none.alias("question_count"), F.lit(0.0).alias("confidence"),
+        F.lit(True).alias("fallback_recommended"), F.lit("parser_error").alias("fallback_reason"), none.alias("table_rows_scanned"),
+        F.array().cast("array<string>").alias("sample_questions"), F.col("error").alias("error_message"),
+    )
+    return report.unionByName(failed)
 
 
 # Advice texts of a recommendation.

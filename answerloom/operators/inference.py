@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from answerloom import constants as K
 from answerloom.functions import text as X
 from answerloom.functions.responses import extract_json_object
-from answerloom.operators.ranking import first_per_group, with_positions
+from answerloom.operators.ranking import first_per_group, running_total, with_positions
 
 
 def fill_requests(

@@ -11,6 +11,7 @@ from answerloom.operators.audit import audit_rows, timestamp
 from answerloom.operators.matching import at_least, live, top_by_wording
 from answerloom.operators.ranking import first_per_group, page as _page, with_positions
 from answerloom.session import durable
+from answerloom.sources.records import numbered
 
 KB_COLUMNS = ["id", "category", "question", "answer", "embedding", "created_at", "updated_at", "deleted_at"]
 
@@ -54,8 +55,10 @@ def validate_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     clean = {c: F.coalesce(X.strip(F.col(c)), F.lit("")) for c in ("category", "question", "answer")}
     cleaned = records.withColumns(clean)
     complete = (F.col("category") != "") & (F.col("question") != "") & (F.col("answer") != "")
-    message = F.concat(F.lit("Row "), F.col("row_no").cast("string"), F.lit(": missing category, question, or answer"))
-    return cleaned.filter(complete), cleaned.filter(~complete).select("row_no", message.alias("error"))
+    row = "file_row" if "file_row" in records.columns else "row_no"
+    message = F.concat(F.lit("Row "), F.col(row).cast("string"), F.lit(": missing category, question, or answer"))
+    source = ["source_file"] if "source_file" in records.columns else []
+    return cleaned.filter(complete), cleaned.filter(~complete).select(*source, "row_no", message.alias("error"))
 
 
 def _new_ids(kb: DataFrame, rows: DataFrame, order: str) -> DataFrame:
@@ -102,6 +105,11 @@ def _inserted(kb: DataFrame, fresh: DataFrame, now) -> DataFrame:
     )
 
 
+def one_order(records: DataFrame) -> DataFrame:
+    """Records whose ``row_no`` is unique also when they come from several files."""
+    return numbered(records) if "source_file" in records.columns and "file_row" not in records.columns else records
+
+
 def _classified(kb: DataFrame, records: DataFrame, stored_key: Column, pick, threshold: float, embed) -> DataFrame:
     """Records with target_id and tier: 0 exact, 1 semantic, null for new ones."""
     keyed = records.withColumn("_key", X.exact_key(F.col("question"))).join(
@@ -127,7 +135,7 @@ def upsert_kb(
     stored wording is compared lower-cased but not stripped.  The longer
     wording is kept.
     """
-    rows = durable(_classified(kb, records, F.lower("question"), F.min, threshold, embed))
+    rows = durable(_classified(kb, one_order(records), F.lower("question"), F.min, threshold, embed))
     updates = rows.filter(F.col("target_id").isNotNull())
     longest = F.struct(F.char_length(X.strip(F.col("question"))), (-F.col("row_no")).alias("first"))
     fresh = (
@@ -164,6 +172,7 @@ def import_kb(
     base as it was before the import, or are added.  New rows are not compared
     with each other.
     """
+    records = durable(one_order(records))
     valid, errors = validate_records(records)
     valid, errors = durable(valid), durable(errors)
     keyed = valid.withColumn("_wording", X.exact_key(F.col("question")))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from answerloom import constants as K
 from answerloom.functions import text as X
 from answerloom.functions.vectors import hashed_embedding
+from answerloom.operators.audit import timestamp
 from answerloom.operators.ranking import first_per_group
 from answerloom.operators.similarity import top_matches
 from answerloom.operators.skew import lookup
@@ -136,6 +137,17 @@ def candidates(
     )
 
 
+def direct_decisions(routed: DataFrame) -> DataFrame:
+    """Decisions of directly routed questions, in the shape and before those of a model."""
+    score = F.round("confidence", 3)
+    return routed.select(
+        "doc_id", "question_index", F.lit(-1).alias("chunk_no"), F.col("question_index").cast("int").alias("at"),
+        F.concat(F.lit("q_"), F.col("question_index").cast("string")).alias("id"), F.lit("answer").alias("action"), F.col("answer_text").alias("answer"),
+        score.alias("confidence"), F.concat(F.lit("Direct KB match (similarity "), F.format_string("%.2f", "confidence"), F.lit(")")).alias("reason"),
+        F.array().cast("array<string>").alias("issues"), F.col("question_text").alias("question"),
+    )
+
+
 def route(questions: DataFrame, found: DataFrame, threshold: float = K.DIRECT_ROUTE_THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(routed, remaining): a top candidate whose rounded similarity reaches
     the threshold answers directly, the rest is left for a model."""
@@ -174,16 +186,21 @@ def propagate(items: DataFrame) -> DataFrame:
 # --- templates, flags, results ---------------------------------------------
 
 
-def prefill(items: DataFrame, template_answers: DataFrame, template_id: int) -> DataFrame:
-    """Answer open items whose key a template has; the later template row wins."""
-    answers = (
-        template_answers.filter(F.col("template_id") == template_id)
-        .groupBy(X.question_key(F.col("question_text")).alias("_key"))
-        .agg(F.max_by("answer_text", "id").alias("_answer"))
-    )
+def prefill(items: DataFrame, template_answers: DataFrame, template: int | DataFrame) -> DataFrame:
+    """Answer open items whose key a template has; the later template row wins.
+
+    ``template`` is one id for all items, or a table (doc_id, template_id) with
+    one row per document; documents without a template stay as they are.
+    """
+    answers = template_answers.groupBy("template_id", X.question_key(F.col("question_text")).alias("_key")).agg(F.max_by("answer_text", "id").alias("_answer"))
+    keyed = items.withColumn("_key", X.question_key(F.col("question_text")))
+    if isinstance(template, DataFrame):
+        keyed = lookup(keyed, template.select("doc_id", "template_id"), ["doc_id"])
+    else:
+        keyed = keyed.withColumn("template_id", F.lit(template))
     open_ = F.col("answer_text").isNull() & F.col("_answer").isNotNull()
     return (
-        lookup(items.withColumn("_key", X.question_key(F.col("question_text"))), answers, ["_key"])
+        lookup(keyed, answers, ["template_id", "_key"])
         .withColumns(
             {
                 "answer_text": F.when(open_, F.col("_answer")).otherwise(F.col("answer_text")),
@@ -191,18 +208,19 @@ def prefill(items: DataFrame, template_answers: DataFrame, template_id: int) ->
                 "confidence": F.when(open_, K.TEMPLATE_CONFIDENCE).otherwise(F.col("confidence")),
             }
         )
-        .drop("_key", "_answer")
+        .select(*items.columns)
     )
 
 
-def touch_template(templates: DataFrame, template_id: int, now) -> DataFrame:
-    used = F.col("id") == template_id
-    return templates.withColumns(
+def touch_templates(templates: DataFrame, used: DataFrame, now) -> DataFrame:
+    """Templates after their use by the documents of (doc_id, template_id)."""
+    times = used.groupBy(F.col("template_id").alias("id")).agg(F.count(F.lit(1)).alias("_times"))
+    return templates.join(times, "id", "left").withColumns(
         {
-            "times_used": F.when(used, F.coalesce("times_used", F.lit(0)) + 1).otherwise(F.col("times_used")),
-            "last_used_at": F.when(used, now).otherwise(F.col("last_used_at")),
+            "times_used": F.coalesce("times_used", F.lit(0)) + F.coalesce("_times", F.lit(0)),
+            "last_used_at": F.when(F.col("_times") > 0, timestamp(now)).otherwise(F.col("last_used_at")),
         }
-    )
+    ).select(*templates.columns)
 
 
 def rebuild_flags(items: DataFrame, prior_flags: DataFrame) -> DataFrame:
@@ -252,8 +270,39 @@ def question_results(items: DataFrame, decisions: DataFrame | None = None, agent
     )
 
 
+def finished_jobs(documents: DataFrame, items: DataFrame, parses: DataFrame, errors: DataFrame) -> DataFrame:
+    """One job per document (doc_id) after filling, also without questions or unreadable.
+
+    ``parses`` has (doc_id, confidence, fallback_recommended, fallback_reason,
+    table_rows_scanned) of the profile that was used, in ``profile_name`` if there
+    is one; ``errors`` are (doc_id, error).  A document without questions is done
+    with zero of each; a document that could not be read is an error.
+    """
+    counts = job_rollup(items)
+    named = "profile_name" if "profile_name" in parses.columns else F.lit(K.DEFAULT_PROFILE)
+    parsed = parses.select(
+        F.col("doc_id").alias("job_id"), (F.col(named) if isinstance(named, str) else named).alias("parser_profile_name"), F.col("confidence").alias("parse_confidence"),
+        "fallback_recommended", "fallback_reason", "table_rows_scanned",
+    )
+    failed = errors.groupBy(F.col("doc_id").alias("job_id")).agg(F.min("error").alias("error_message"))
+    none = F.lit(0).cast("long")
+    broken = F.col("error_message").isNotNull()
+    number = lambda name: F.when(~broken, F.coalesce(name, none)).alias(name)
+    return (
+        documents.select(F.col("doc_id").alias("job_id")).distinct().join(counts.drop("status", "review_status"), "job_id", "left").join(parsed, "job_id", "left").join(failed, "job_id", "left")
+    ).select(
+        "job_id", number("total_questions"), number("matched_questions"), number("flagged_questions_count"),
+        F.when(broken, "error").otherwise("done").alias("status"), F.lit("pending").alias("review_status"), "error_message",
+        F.when(~broken, F.coalesce("parser_profile_name", F.lit(K.DEFAULT_PROFILE))).alias("parser_profile_name"),
+        F.when(~broken, F.coalesce("parse_confidence", F.lit(0.0))).alias("parse_confidence"),
+        F.when(~broken, F.coalesce("fallback_recommended", F.lit(True))).alias("fallback_recommended"),
+        F.when(~broken & F.coalesce("fallback_recommended", F.lit(True)), F.coalesce("fallback_reason", F.lit("no_questions_found"))).alias("fallback_reason"),
+        F.when(~broken, F.coalesce("table_rows_scanned", none)).alias("table_rows_scanned"),
+    )
+
+
 def job_rollup(items: DataFrame) -> DataFrame:
-    """Question counts per job after filling."""
+    """Question counts per job that has questions, after filling."""
     answered = F.col("answer_text").isNotNull()
     return items.groupBy(F.col("doc_id").alias("job_id")).agg(
         F.count(F.lit(1)).alias("total_questions"),

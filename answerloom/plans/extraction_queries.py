@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from answerloom import constants as K
 from answerloom.functions import text as X
-from answerloom.operators import extraction as E, layouts as L
+from answerloom.operators import extraction as E, jobs as J, layouts as L, matching as M
 from answerloom.operators.ranking import with_positions
 from answerloom.plans import checks as C
 from answerloom.plans.registry import query
@@ -136,12 +136,12 @@ def extract_page_tables(spark, d):
 
 # Document lines seldom ask; the questions of the order forms join them as lines
 # of the "document" of their topic's supplier order.
-LINES = """lines AS (SELECT doc_id, CAST(line_idx AS BIGINT) AS line_idx, line FROM ({lines}) a UNION ALL SELECT doc_id, CAST(100000 + n AS BIGINT), question FROM ({questions}) b)"""
+LINES = """lines AS (SELECT doc_id, CAST(line_idx AS BIGINT) AS line_idx, line FROM ({lines}) a UNION ALL SELECT doc_id, CAST(4294967296 + n AS BIGINT), question FROM ({questions}) b)"""
 
 
 def _lines(spark, d) -> DataFrame:
     text = table(spark, d, "lines").select("doc_id", "line_idx", "line")
-    asked = table(spark, d, "questions").select("doc_id", (F.col("n") + 100000).cast("long").alias("line_idx"), F.col("question").alias("line"))
+    asked = table(spark, d, "questions").select("doc_id", (F.col("n") + 4294967296).cast("long").alias("line_idx"), F.col("question").alias("line"))
     return E.with_options(text.unionByName(asked))
 
 
@@ -159,14 +159,14 @@ def extract_paragraphs(spark, d):
 @query(
     "extract_lines",
     f"""WITH {TABLES}, {mapping_sql(skip_blank=False)}, {items_sql(skip_blank=False)}, {LINES}, {PARAGRAPHS},
-    fresh AS (SELECT * FROM paragraphs p WHERE line_idx < 100000 OR NOT EXISTS (SELECT 1 FROM items i WHERE i.doc_id = p.doc_id AND lower(i.question_text) = lower(p.question_text) AND i.row_idx < 2))
+    fresh AS (SELECT * FROM paragraphs p WHERE line_idx < 4294967296 OR NOT EXISTS (SELECT 1 FROM items i WHERE i.doc_id = p.doc_id AND lower(i.question_text) = lower(p.question_text) AND i.row_idx < 2))
     SELECT doc_id, question_text, line_idx FROM fresh QUALIFY row_number() OVER (PARTITION BY doc_id, lower(question_text) ORDER BY line_idx) = 1""",
 )
 def extract_lines(spark, d):
     """Lines of page 1 after the tables of pages 0 and 2: table rows count only up to page 1."""
     rows = cells(spark, d).withColumns({"table_idx": F.lit(0), "page_idx": F.lit(0)})
     tables = E.extract_page_tables(rows, max_header_rows=0).withColumn("page_idx", F.when(F.col("question_row_idx") < 2, 0).otherwise(2))
-    lines = _lines(spark, d).withColumn("page_idx", F.when(F.col("line_idx") < 100000, -1).otherwise(1))
+    lines = _lines(spark, d).withColumn("page_idx", F.when(F.col("line_idx") < 4294967296, -1).otherwise(1))
     return E.extract_lines(lines, tables).select("doc_id", "question_text", "line_idx")
 
 
@@ -249,6 +249,77 @@ def recommend_profile(spark, d):
     )
 
 
+def _readable(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, errors, all documents): the forms as if some files had been unreadable or empty."""
+    every = stored_cells(spark, d)
+    number = F.col("doc_id")
+    errors = every.filter(number % 7 == 3).groupBy("doc_id").agg(F.lit("not UTF-8").alias("error"))
+    return every.filter((number % 7 != 3) & (number % 11 != 5)), errors, every.select("doc_id").distinct()
+
+
+READ = "(doc_id % 7 <> 3 AND doc_id % 11 <> 5)"
+
+
+@query(
+    "profile_errors",
+    SWEEP + f""" SELECT doc_id, profile_name, question_count, confidence, fallback_recommended, NULL AS error_message FROM report WHERE {READ}
+      UNION ALL SELECT doc_id, p, 0, 0.0, true, 'not UTF-8' FROM (SELECT DISTINCT doc_id FROM cells WHERE doc_id % 7 = 3) x, (SELECT unnest({PROFILES}) AS p) y""",
+)
+def profile_errors(spark, d):
+    rows, errors, _ = _readable(spark, d)
+    return E.profile_report(rows, errors=errors).select("doc_id", "profile_name", "question_count", "confidence", "fallback_recommended", "error_message")
+
+
+@query(
+    "recommend_unreadable",
+    f"""WITH {BASE} SELECT DISTINCT doc_id, 'Every parser profile failed while reading this document.' AS reason, 2 AS n_hints FROM cells WHERE doc_id % 7 = 3""",
+)
+def recommend_unreadable(spark, d):
+    rows, errors, _ = _readable(spark, d)
+    advice = E.recommend_profile(E.profile_report(rows, errors=errors))
+    return advice.join(errors.select("doc_id"), "doc_id").filter("recommended_profile IS NULL").select("doc_id", "reason", F.size("hints").alias("n_hints"))
+
+
+def _finished(spark, d) -> DataFrame:
+    rows, errors, documents = _readable(spark, d)
+    found = durable(E.extract_grid(E.with_options(rows), max_header_rows=0))
+    parses = E.score_parse(E.parse_stats(["doc_id"], rows=rows, table_items=found))
+    return M.finished_jobs(documents, found.withColumn("answer_text", F.lit(None).cast("string")), parses, errors)
+
+
+FINISHED = f"""WITH {BASE}, {mapping_sql()}, {items_sql()}, sizes AS (SELECT doc_id, count(*) AS rows FROM cells GROUP BY doc_id),
+    counted AS (SELECT s.doc_id, s.rows, count(i.doc_id) AS n FROM sizes s LEFT JOIN items i USING (doc_id) GROUP BY ALL),
+    jobs AS (SELECT doc_id AS job_id, CASE WHEN doc_id % 7 = 3 THEN NULL WHEN doc_id % 11 = 5 THEN 0 ELSE n END AS total_questions, doc_id % 7 = 3 AS failed, CASE WHEN {READ} THEN rows ELSE 0 END AS rows FROM counted)"""
+
+
+@query(
+    "finished_jobs",
+    FINISHED + """ SELECT job_id, total_questions, CASE WHEN NOT failed THEN 0 END AS matched_questions, total_questions AS flagged_questions_count, CASE WHEN failed THEN 'error' ELSE 'done' END AS status,
+      CASE WHEN failed THEN 'not UTF-8' END AS error_message, CASE WHEN NOT failed THEN 'default' END AS parser_profile_name,
+      CAST(CASE WHEN failed THEN NULL WHEN total_questions = 0 THEN 0.0 ELSE 0.9 END AS DOUBLE) AS parse_confidence, CASE WHEN NOT failed THEN total_questions = 0 END AS fallback_recommended,
+      CASE WHEN NOT failed AND total_questions = 0 THEN 'no_questions_found' END AS fallback_reason, CASE WHEN NOT failed THEN rows END AS table_rows_scanned FROM jobs""",
+)
+def finished_jobs(spark, d):
+    return _finished(spark, d).drop("review_status")
+
+
+@query(
+    "finished_batches",
+    FINISHED + """ SELECT job_id % 50 AS batch_id, count(*) AS total, count(*) FILTER (NOT failed) AS done_count, count(*) FILTER (failed) AS error_count, CAST(coalesce(sum(total_questions), 0) AS BIGINT) AS found_total,
+      bool_or(failed OR total_questions >= 0) AS needs_attention, 100 AS progress_percent FROM jobs GROUP BY ALL""",
+)
+def finished_batches(spark, d):
+    jobs = _finished(spark, d).withColumn("batch_id", F.col("job_id") % 50)
+    return J.batch_summary(jobs).select("batch_id", "total", "done_count", "error_count", "found_total", "needs_attention", "progress_percent")
+
+
+@query("unfilled_jobs", FINISHED + " SELECT job_id FROM jobs WHERE total_questions = 0")
+def unfilled_jobs(spark, d):
+    """Done jobs that need a review for nothing but their lack of questions."""
+    jobs = _finished(spark, d)
+    return jobs.withColumns({"flagged_questions_count": F.lit(0), "fallback_recommended": F.lit(False)}).filter(J.needs_review()).select("job_id")
+
+
 @query(
     "hint_columns",
     """SELECT event_id, CASE event_type WHEN 'click' THEN k WHEN 'view' THEN k ELSE 0 END AS question_column_index, CASE event_type WHEN 'error' THEN 1 ELSE 1 END AS answer_column_index,
@@ -330,10 +401,10 @@ def fingerprint_tables(spark, d):
 
 
 def _known_layouts(spark, d) -> DataFrame:
-    """One learned layout per hash, from the forms with an urgent or high priority."""
+    """One learned layout per hash, from all forms."""
     prints = L.fingerprint(table(spark, d, "cells"))
     layouts = table(spark, d, "cells").select("doc_id", "layout").distinct()
-    known = prints.join(layouts.filter(F.col("layout").isin("1-URGENT", "2-HIGH", "3-MEDIUM")), "doc_id")
+    known = prints.join(layouts, "doc_id")
     return known.groupBy("fingerprint_hash").agg(
         F.min("doc_id").alias("id"), F.min_by("layout", "doc_id").alias("source_filename"), F.min("column_count").alias("column_count")
     ).select(
@@ -346,7 +417,7 @@ def _known_layouts(spark, d) -> DataFrame:
 
 
 KNOWN = f"""{PRINTS}, layouts AS (SELECT DISTINCT doc_id, layout FROM ({{cells}}) c),
-    known AS (SELECT fingerprint_hash, min(doc_id) AS id, arg_min(layout, doc_id) AS layout FROM prints JOIN layouts USING (doc_id) WHERE layout IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY ALL)"""
+    known AS (SELECT fingerprint_hash, min(doc_id) AS id, arg_min(layout, doc_id) AS layout FROM prints JOIN layouts USING (doc_id) GROUP BY ALL)"""
 
 
 @query(

@@ -12,6 +12,9 @@ from answerloom.plans.extraction_queries import cells
 from answerloom.plans.fill import fill_pipeline as fill, number_items
 from answerloom.plans.registry import query
 from answerloom.plans.standins import raw, table, with_vectors
+from answerloom.session import durable, scratch_folder
+from answerloom.streaming.cells import CellTable
+from answerloom.streaming.duplicates import flag_arrivals
 
 NOW = "2024-06-01 00:00:00"
 DUP = 0.95
@@ -139,6 +142,36 @@ def prefill(spark, d):
     return done.select("doc_id", "question_index", "answer_text", "matched_source", "confidence")
 
 
+# Every batch has its own template; some have none.
+USED = "used AS (SELECT DISTINCT o_custkey AS doc_id, o_custkey % 60 AS template_id FROM orders WHERE o_custkey % 60 >= 10)"
+
+
+def _used(spark, d) -> DataFrame:
+    number = (F.col("o_custkey") % 60).cast("long")
+    return raw(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), number.alias("template_id")).filter("template_id >= 10").distinct()
+
+
+@query(
+    "prefill_by_document",
+    f"""WITH {ITEMS}, {USED}, t AS (SELECT template_id, {C.key('question_text')} AS k, arg_max(answer_text, id) AS a FROM ({{template_answers}}) t GROUP BY ALL)
+    SELECT doc_id, question_index, coalesce(answer_text, a) AS answer_text, CASE WHEN answer_text IS NULL AND a IS NOT NULL THEN 'template' WHEN source = 'template' THEN 'template' END AS matched_source
+    FROM items LEFT JOIN used USING (doc_id) LEFT JOIN t ON t.template_id = used.template_id AND t.k = {C.key('question_text')}""",
+)
+def prefill_by_document(spark, d):
+    done = M.prefill(items(spark, d), table(spark, d, "template_answers"), _used(spark, d))
+    return done.select("doc_id", "question_index", "answer_text", "matched_source")
+
+
+@query(
+    "touch_templates",
+    f"""WITH {USED} SELECT t.id, CAST(t.times_used + count(u.doc_id) AS BIGINT) AS times_used, count(u.doc_id) > 0 AS touched FROM ({{templates}}) t LEFT JOIN used u ON u.template_id = t.id GROUP BY t.id, t.times_used""",
+)
+def touch_templates(spark, d):
+    before = table(spark, d, "templates").withColumn("last_used_at", F.lit(None).cast("timestamp_ntz"))
+    after = M.touch_templates(before, _used(spark, d), NOW)
+    return after.select("id", F.col("times_used").cast("long").alias("times_used"), F.col("last_used_at").isNotNull().alias("touched"))
+
+
 @query(
     "rebuild_flags",
     f"""WITH {ITEMS}, prior AS (SELECT doc_id, {C.key('question_text')} AS k, confidence, source, question_index FROM items
@@ -218,6 +251,90 @@ def fill_pipeline_agent(spark, d):
     return done.results.select("job_id", "question_index", "answer_text", "source", F.round("confidence_score", 4).alias("confidence_score"))
 
 
+def _responses(items) -> DataFrame:
+    """One answer of a model for each form: it decides on the odd first questions."""
+    firsts = M.canonical_questions(items).filter("question_index = canonical_index AND question_index % 2 = 1")
+    i = F.col("question_index")
+    number = i.cast("string")
+    flag = F.concat(F.lit('{"id": "q_'), number, F.lit('", "action": "flag", "confidence": 0.2, "reason": "model", "issues": ["check"]}'))
+    score = (F.lit(0.5) + (i % 5) / 10).cast("decimal(3,1)").cast("string")
+    answer = F.concat(
+        F.lit('{"id": "q_'), number, F.lit('", "action": "answer", "answer": " Agent '), number, F.lit(' ", "confidence": '), score,
+        F.lit(', "reason": "model", "issues": ["check"]}'),
+    )
+    ordered = F.sort_array(F.collect_list(F.struct(i.alias("i"), F.when(i % 3 == 0, flag).otherwise(answer).alias("d"))))
+    body = F.concat(F.lit('{"decisions": ['), F.array_join(F.transform(ordered, lambda x: x["d"]), ", "), F.lit("]}"))
+    return firsts.groupBy("doc_id").agg(body.alias("content")).withColumn("chunk_no", F.lit(1).cast("long"))
+
+
+def _corrections(items) -> DataFrame:
+    """What a verifier says on every form, also where nothing is to be verified."""
+    firsts = M.canonical_questions(items).filter("question_index = canonical_index")
+    i = F.col("question_index")
+    said = lambda seq, action, text, score, why: F.struct(
+        (2 * i + seq).alias("seq"), F.lit(action).alias("action"), text.cast("string").alias("revised_answer"),
+        F.lit(score).cast("string").alias("revised_confidence"), F.lit(why).alias("reason"),
+    )
+    revise = F.when(i % 4 == 1, said(0, "revise", F.concat(F.lit("Revised "), i.cast("string")), "0.95", "better"))
+    flag = F.when(i % 5 == 2, said(1, "flag", F.lit(None), None, "unsure"))
+    every = F.filter(F.array(revise, flag), lambda x: x.isNotNull())
+    return firsts.select("doc_id", F.concat(F.lit("q_"), i.cast("string")).alias("id"), F.explode(every).alias("c")).select("doc_id", "id", "c.*")
+
+
+def _agent_run(spark, d):
+    forms = durable(_extracted(spark, d))
+    return fill(forms, parts_kb(spark, d), table(spark, d, "flags"), agent_mode=True, responses=_responses(forms), corrections=_corrections(forms))
+
+
+AGENT = _fill_check() + """, routed AS (SELECT a.*, CASE WHEN round(s, 4) >= 0.78 THEN kb.answer END AS answer, round(s, 4) AS score FROM first a JOIN q_src USING (question_text) JOIN hit h ON h.a = q_src.id JOIN kb ON kb.id = h.b),
+    canon AS (SELECT *, question_index AS i FROM routed WHERE question_index = canonical),
+    decided AS (SELECT doc_id, i, -1 AS chunk, 'answer' AS act, answer AS text, round(score, 3) AS conf, concat('Direct KB match (similarity ', printf('%.2f', score), ')') AS reason, 0 AS n_issues FROM canon WHERE answer IS NOT NULL
+      UNION ALL SELECT doc_id, i, 1, CASE WHEN i % 3 = 0 THEN 'flag' ELSE 'answer' END, CASE WHEN i % 3 = 0 THEN NULL ELSE concat('Agent ', i) END, CASE WHEN i % 3 = 0 THEN 0.2 ELSE 0.5 + (i % 5) / 10 END, 'model', 1 FROM canon WHERE i % 2 = 1),
+    open_docs AS (SELECT DISTINCT doc_id FROM canon WHERE answer IS NULL),
+    means AS (SELECT doc_id, avg(conf) AS m, count(*) AS n FROM decided WHERE act = 'answer' GROUP BY doc_id),
+    verified AS (SELECT doc_id FROM means JOIN open_docs USING (doc_id) WHERE NOT (round(m, 9) >= 0.78 AND n > 3)),
+    said AS (SELECT doc_id, i, i % 4 = 1 AS rev, i % 5 = 2 AS flg FROM canon JOIN verified USING (doc_id) WHERE i % 4 = 1 OR i % 5 = 2),
+    corrected AS (SELECT d.doc_id, d.i, d.chunk, concat(d.reason, CASE WHEN rev AND d.chunk = f.chunk THEN ' [Revised by verification: better]' ELSE '' END, CASE WHEN flg AND d.chunk = f.chunk THEN ' [Flagged by verification: unsure]' ELSE '' END) AS reason, n_issues
+      FROM decided d JOIN (SELECT doc_id, i, min(chunk) AS chunk FROM decided GROUP BY ALL) f ON f.doc_id = d.doc_id AND f.i = d.i LEFT JOIN said s ON s.doc_id = d.doc_id AND s.i = d.i),
+    final AS (SELECT c.doc_id, c.i, CASE WHEN s.flg THEN NULL WHEN s.rev THEN concat('Revised ', c.i) WHEN c.i % 2 = 1 AND c.i % 3 = 0 THEN NULL WHEN c.i % 2 = 1 THEN concat('Agent ', c.i) ELSE c.answer END AS text, c.answer IS NOT NULL AS direct, c.score
+      FROM canon c LEFT JOIN said s ON s.doc_id = c.doc_id AND s.i = c.i),
+    noted AS (SELECT doc_id, i, arg_max(reason, chunk) AS reason, arg_max(n_issues, chunk) AS n_issues FROM corrected GROUP BY ALL)"""
+
+
+@query(
+    "fill_agent_verified",
+    AGENT + """ SELECT r.doc_id AS job_id, r.question_index, f.text AS answer_text, CASE WHEN f.text IS NULL THEN 'unmatched' WHEN r.question_index = r.canonical AND f.direct THEN 'kb_direct' ELSE 'agent' END AS source,
+      CASE WHEN r.question_index = r.canonical AND f.direct THEN f.score ELSE 0.88 END AS confidence_score, n.reason AS agent_reason, coalesce(n.n_issues, 0) AS n_issues
+    FROM routed r JOIN final f ON f.doc_id = r.doc_id AND f.i = r.canonical LEFT JOIN noted n ON n.doc_id = r.doc_id AND n.i = r.question_index""",
+)
+def fill_agent_verified(spark, d):
+    """Direct answers, a model's decisions and a verifier's corrections, with reasons and issues."""
+    done = _agent_run(spark, d).results
+    return done.select(
+        "job_id", "question_index", "answer_text", "source", F.round("confidence_score", 4).alias("confidence_score"), "agent_reason",
+        F.coalesce(F.when(F.col("agent_issues").isNotNull(), F.size("agent_issues")), F.lit(0)).alias("n_issues"),
+    )
+
+
+@query(
+    "agent_verification",
+    AGENT + """ SELECT doc_id, i AS question_index, chunk AS chunk_no, round(conf, 3) AS confidence FROM decided JOIN verified USING (doc_id) WHERE act = 'answer' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY conf, chunk, i) <= 40""",
+)
+def agent_verification(spark, d):
+    chosen = _agent_run(spark, d).to_verify
+    return chosen.select("doc_id", F.col("question_index").cast("long").alias("question_index"), F.col("chunk_no").cast("int").alias("chunk_no"), F.round("confidence", 3).alias("confidence"))
+
+
+@query(
+    "agent_stats",
+    AGENT + f""" SELECT r.doc_id, count(DISTINCT {C.exact_key('question_text')}) AS questions_considered, count(f.text) AS answers_generated, count(*) - count(f.text) AS unresolved_questions, 'completed' AS status
+    FROM routed r JOIN final f ON f.doc_id = r.doc_id AND f.i = r.canonical GROUP BY r.doc_id""",
+)
+def agent_stats(spark, d):
+    stats = _agent_run(spark, d).stats
+    return stats.select("doc_id", "questions_considered", "answers_generated", "unresolved_questions", "status")
+
+
 @query(
     "fill_flags",
     _fill_check() + f""", scored AS (SELECT a.*, {C.key('question_text')} AS k, s, kb.question AS near FROM forms a JOIN q_src USING (question_text) JOIN hit h ON h.a = q_src.id JOIN kb ON kb.id = h.b WHERE round(s, 6) < 0.75),
@@ -446,6 +563,27 @@ def flag_new_duplicates(spark, d):
     return D.flag_new_duplicates(docs_kb(spark, d), new, table(spark, d, "reviews")).drop("created_at")
 
 
+@query(
+    "arrival_duplicates",
+    f"""WITH kb AS (SELECT * FROM ({{kb_docs}}) k WHERE deleted_at IS NULL), {C.vectors('w', 'SELECT id, question FROM kb')}, src AS (SELECT w.*, CASE WHEN l.quality = 1 THEN l.doc_id % 2 END AS batch FROM w LEFT JOIN labels l ON l.doc_id = w.id),
+    found AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, sum(x.w * y.w) AS s FROM src x JOIN src y ON x.b = y.b WHERE x.batch IS NOT NULL AND (y.batch IS NULL OR y.batch < x.batch) GROUP BY x.id, y.id)
+    SELECT a AS entry_a_id, b AS entry_b_id, round(s, 4) AS similarity_score FROM found f WHERE round(s, 6) >= 0.92 AND NOT EXISTS (SELECT 1 FROM ({{reviews}}) r WHERE r.entry_a_id = a AND r.entry_b_id = b)""",
+)
+def arrival_duplicates(spark, d):
+    """Two batches of arrivals against a cell table on disk, each added after it was compared."""
+    kb = durable(M.live(docs_kb(spark, d), True).select("id", "embedding"))
+    marks = raw(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 2).alias("batch"))
+    marked = durable(kb.join(marks, "id", "left"))
+    cells = CellTable(spark, scratch_folder(spark))
+    cells.create(marked.filter("batch IS NULL").select("id", F.col("embedding").alias("vec")))
+    reviews, found = table(spark, d, "reviews"), []
+    for batch in (0, 1):
+        fresh = marked.filter(F.col("batch") == batch).drop("batch")
+        found.append(durable(flag_arrivals(cells, fresh, reviews, batch).select("entry_a_id", "entry_b_id", "similarity_score")))
+        cells.append(fresh.select("id", F.col("embedding").alias("vec")), batch)
+    return found[0].unionByName(found[1])
+
+
 CLASSIFY = DENSE_CLUSTERS + f""", rv AS (SELECT entry_a_id, entry_b_id, min(id) AS review_id, arg_min(classification, id) FILTER (classification IS NOT NULL) AS classification FROM ({{reviews}}) r GROUP BY ALL),
     inside AS (SELECT x.root, x.id AS entry_a_id, y.id AS entry_b_id, round(list_inner_product(a.v, b.v), 4) AS similarity FROM comp x JOIN comp y ON x.root = y.root AND x.id < y.id JOIN e a ON a.id = x.id JOIN e b ON b.id = y.id)"""
 
@@ -492,6 +630,38 @@ def apply_classifications(spark, d):
     return D.apply_classifications(pairs, responses).drop("batch_no", "pair_index", "root")
 
 
+VERDICTS = """judged AS (SELECT y.*, CASE WHEN low < 20 THEN 'probably_same' WHEN n % 10 = 0 THEN 'different' WHEN n % 10 = 1 THEN 'probably_same' END AS verdict,
+      CASE WHEN low < 20 THEN 'LLM classification failed; defaulting to probably_same' WHEN n % 10 = 0 THEN 'no' WHEN n % 10 = 1 THEN '' END AS why FROM (SELECT *, min(root) OVER (PARTITION BY n // 10) AS low FROM numbered) y)"""
+
+
+@query(
+    "record_classifications",
+    CLASSIFY + f""", numbered AS (SELECT i.*, review_id, row_number() OVER (ORDER BY entry_a_id, entry_b_id) - 1 AS n FROM inside i LEFT JOIN rv USING (entry_a_id, entry_b_id) WHERE classification IS NULL), {VERDICTS}
+    SELECT r.id, r.entry_a_id, r.entry_b_id, coalesce(j.verdict, r.classification) AS classification, CASE WHEN j.verdict IS NOT NULL THEN j.why ELSE r.reason END AS reason, r.status, r.source
+      FROM ({{reviews}}) r LEFT JOIN judged j ON j.review_id = r.id
+    UNION ALL SELECT (SELECT max(id) FROM ({{reviews}}) m) + row_number() OVER (ORDER BY n), entry_a_id, entry_b_id, verdict, why, 'pending', 'manual_scan' FROM judged WHERE review_id IS NULL""",
+)
+def record_classifications(spark, d):
+    """The verdicts of the batches written back; pairs without a review get one."""
+    _, open_, _ = D.pairs_to_classify(vectors_kb(spark, d), table(spark, d, "reviews"), 0.4)
+    pairs = I.number_pairs(open_.select("entry_a_id", "entry_b_id", "root", "similarity", "review_id"))
+    lows = pairs.groupBy("batch_no").agg(F.min("root").alias("low"))
+    content = '{"pairs":[{"pair_index":0,"classification":"different","reason":"no","contradicts":true},{"pair_index":1,"recommended_keep_id":5},{"pair_index":77}]}'
+    responses = lows.select("batch_no", F.when(F.col("low") < 20, "not json").otherwise(content).alias("content"))
+    after = D.record_classifications(table(spark, d, "reviews"), D.apply_classifications(pairs, responses), NOW)
+    return after.select("id", "entry_a_id", "entry_b_id", "classification", "reason", "status", "source")
+
+
+@query(
+    "cluster_members",
+    DENSE_CLUSTERS + """, heads AS (SELECT root, count(*) AS size, arg_max(id, CASE WHEN label > 2 THEN label * 3600 + id ELSE 0 END * 1000000 - id) AS canonical_id FROM comp JOIN e USING (id) GROUP BY ALL),
+    top AS (SELECT * FROM heads ORDER BY size DESC, root LIMIT 100) SELECT c.root, c.id, t.canonical_id FROM comp c JOIN top t USING (root)""",
+)
+def cluster_members(spark, d):
+    kb = vectors_kb(spark, d)
+    return D.cluster_members(D.clusters(kb, 0.4), D.cluster_report(kb, 0.4)[0], kb).select("root", "id", "canonical_id")
+
+
 REVIEWS = "rv AS (SELECT * FROM ({reviews}) r), alive AS (SELECT id FROM ({kb_docs}) k WHERE deleted_at IS NULL), act AS (SELECT * FROM rv WHERE entry_a_id IN (SELECT id FROM alive) AND entry_b_id IN (SELECT id FROM alive))"
 
 

@@ -30,7 +30,7 @@ VIEWS = {
         FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
     # knowledge base of single lines
     "kb_lines": """
-        SELECT x.doc_id * 100000 + x.line_idx AS id, x.lang AS category, x.line AS question, concat('Known from ', x.source) AS answer,
+        SELECT x.doc_id * 4294967296 + x.line_idx AS id, x.lang AS category, x.line AS question, concat('Known from ', x.source) AS answer,
                {ts}x.doc_id{/ts} AS created_at, CASE WHEN l.quality = 1 THEN {ts}x.doc_id + x.n_chars{/ts} END AS updated_at,
                CASE WHEN l.toxic = 1 THEN {ts}x.doc_id + 86400{/ts} END AS deleted_at
         FROM ({lines}) x LEFT JOIN {labels} l ON x.doc_id = l.doc_id""",
@@ -90,7 +90,7 @@ VIEWS = {
         WHERE u.role = 'user'""",
     "lines": """{lines}""",
     "flags": """
-        SELECT x.doc_id * 100000 + x.line_idx AS id, x.doc_id AS job_id, x.line AS extracted_question, x.lang AS context,
+        SELECT x.doc_id * 4294967296 + x.line_idx AS id, x.doc_id AS job_id, x.line AS extracted_question, x.lang AS context,
                CAST(x.n_chars AS DOUBLE) / 100000 AS similarity_score, x.source AS best_match_question,
                coalesce(l.quality = 1, false) AS resolved,
                CASE WHEN l.quality = 1 AND l.toxic = 1 THEN '[Dismissed]' WHEN l.quality = 1 THEN concat('Answer from ', x.source) END AS resolved_answer,
@@ -197,25 +197,19 @@ def render(name_or_text: str, folder: str | None = None) -> str:
 TEXT_VIEWS = ["lines", "flags", "kb_docs", "kb_lines", "doc_jobs"]
 
 
-def _too_few_splits(spark: SparkSession, folder: str, name: str) -> bool:
-    """A scan with fewer splits than cores, as of one small file."""
-    scan = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    return scan.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
-
-
 def _spread(df: DataFrame) -> DataFrame:
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A stand-in; long texts of a table in very few splits are spread over the cores."""
+    """A stand-in; rows of long texts are dealt out anew, as one of them may hold a thousand lines."""
     rows = spark.sql(render(name, folder))
-    return _spread(rows) if name in TEXT_VIEWS and _too_few_splits(spark, folder, "documents") else rows
+    return _spread(rows) if name in TEXT_VIEWS else rows
 
 
 def raw(spark: SparkSession, folder: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    return _spread(rows) if name == "documents" and _too_few_splits(spark, folder, name) else rows
+    return _spread(rows) if name == "documents" else rows
 
 
 def with_vectors(kb: DataFrame, text: str = "question") -> DataFrame:

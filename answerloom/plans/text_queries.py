@@ -11,7 +11,7 @@ from answerloom.plans import checks as C
 from answerloom.plans.extraction_queries import delimited_files
 from answerloom.plans.registry import query
 from answerloom.plans.standins import raw, table
-from answerloom.session import scratch_folder
+from answerloom.session import durable, scratch_folder
 from answerloom.sources import backup, grids, records
 
 COUNT = lambda e: f"CAST({e} AS BIGINT)"
@@ -249,6 +249,49 @@ def read_qa_csv(spark, d):
     return records.read_qa_csv(spark, path).groupBy("category", "question", "answer").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Import files: rows dealt to 200 files in five shapes (by number modulo 5): plain; other header order, names with
+# blanks and a mark; no category but surplus cells; short rows with line breaks; bytes that are no UTF-8.
+FILED = "filed AS (SELECT *, row_no % 200 AS file, row_no % 5 AS shape, row_number() OVER (PARTITION BY row_no % 200 ORDER BY row_no) AS n FROM ({records}) r)"
+
+
+def _import_files(spark, d):
+    """(source_file, content): CSV files of the records."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
+    shape = F.col("row_no") % 5
+    broken = F.concat(F.lit('"first\n""'), F.replace(F.col("question"), F.lit('"'), F.lit('""')), F.lit('"""'))
+    line = (
+        F.when(shape == 1, F.concat_ws(",", quoted("answer"), quoted("question"), quoted("category")))
+        .when(shape == 2, F.concat_ws(",", quoted("question"), quoted("answer"), F.lit('extra,"more"')))
+        .when(shape == 3, F.concat_ws(",", quoted("category"), broken))
+        .otherwise(F.concat_ws(",", quoted("category"), quoted("question"), quoted("answer")))
+    )
+    rows = table(spark, d, "records").select((F.col("row_no") % 200).alias("file"), shape.alias("shape"), "row_no", line.alias("line"))
+    files = rows.groupBy("file", "shape").agg(F.sort_array(F.collect_list(F.struct("row_no", "line"))).alias("l"))
+    head = F.when(F.col("shape") == 1, "﻿ Answer ,QUESTION,category").when(F.col("shape") == 2, "question,answer").otherwise("category,question,answer")
+    text = F.encode(F.concat_ws("\n", head, F.array_join(F.transform("l", lambda x: x["line"]), "\n")), "UTF-8")
+    return files.select(F.format_string("f%03d", "file").alias("source_file"), F.when(F.col("shape") == 4, F.concat(text, F.unhex(F.lit("FF")))).otherwise(text).alias("content"))
+
+
+@query(
+    "import_files",
+    f"""WITH {FILED} SELECT printf('f%03d', file) AS source_file, n AS row_no, CASE WHEN shape = 2 THEN NULL ELSE category END AS category,
+       CASE WHEN shape = 3 THEN concat('first', chr(10), '"', question, '"') ELSE question END AS question, CASE WHEN shape = 3 THEN NULL ELSE answer END AS answer, false AS failed FROM filed WHERE shape <> 4
+    UNION ALL SELECT DISTINCT printf('f%03d', file), 1, NULL, NULL, NULL, true FROM filed WHERE shape = 4""",
+)
+def import_files(spark, d):
+    read = records.parse_qa_csv(_import_files(spark, d))
+    return read.select("source_file", "row_no", "category", "question", "answer", F.col("error").isNotNull().alias("failed"))
+
+
+@query(
+    "import_file_order",
+    f"""WITH {FILED} SELECT printf('f%03d', file) AS source_file, n AS file_row, row_number() OVER (ORDER BY file, n) AS row_no FROM filed WHERE shape <> 4""",
+)
+def import_file_order(spark, d):
+    read = records.parse_qa_csv(_import_files(spark, d)).filter("error IS NULL")
+    return records.numbered(read).select("source_file", "file_row", "row_no")
+
+
 def _record_files(spark, d):
     """JSON files of one customer's records each, with one element that is no object."""
     part = table(spark, d, "records").withColumn("file", F.col("question"))
@@ -339,6 +382,21 @@ def parse_grids(spark, d):
     return parsed.select("doc_id", "row_idx", F.array_join("cells", "␟").alias("cells"), "delimiter")
 
 
+def _damaged_files(spark, d):
+    """The delimited files as bytes; some are no UTF-8, some are empty."""
+    text = F.encode("content", "UTF-8")
+    content = F.when(F.col("doc_id") % 7 == 3, F.concat(text, F.unhex(F.lit("C3")))).when(F.col("doc_id") % 11 == 5, F.unhex(F.lit(""))).otherwise(text)
+    return delimited_files(spark, d).select("doc_id", content.alias("content"))
+
+
+@query("grid_errors", "SELECT DISTINCT doc_id, true AS failed FROM ({cells}) c WHERE doc_id % 7 = 3")
+def grid_errors(spark, d):
+    """Rows and errors come from one stored parse."""
+    parsed = durable(grids.parse(_damaged_files(spark, d)))
+    readable = grids.cells_of(parsed).select("doc_id").distinct()
+    return grids.errors_of(parsed).join(readable, "doc_id", "left_anti").select("doc_id", F.contains("error", F.lit("utf-8")).alias("failed"))
+
+
 FILL = C.QUOTE("[REVIEW REQUIRED] No matching answer found in the knowledge base.")
 
 

@@ -88,12 +88,12 @@ def _resolutions(spark, d) -> DataFrame:
     """Every labelled document resolves its first line; good ones go to the knowledge base."""
     rows = raw(spark, d, "labels").join(raw(spark, d, "documents"), "doc_id")
     return rows.select(
-        (F.col("doc_id") * 100000).alias("flag_id"), F.concat(F.lit("Resolved by "), "source").alias("answer"), (F.col("quality") == 0).alias("add_to_kb"),
+        (F.col("doc_id") * 4294967296).alias("flag_id"), F.concat(F.lit("Resolved by "), "source").alias("answer"), (F.col("quality") == 0).alias("add_to_kb"),
         F.when(F.col("lang") != "es", F.concat(F.lit(" "), "lang")).alias("category"),
     )
 
 
-RESOLVE = f"""{KEYED}, res AS (SELECT doc_id * 100000 AS flag_id, concat('Resolved by ', source) AS answer, quality = 0 AS add_to_kb, CASE WHEN lang <> 'es' THEN lang END AS category FROM labels JOIN documents USING (doc_id)),
+RESOLVE = f"""{KEYED}, res AS (SELECT doc_id * 4294967296 AS flag_id, concat('Resolved by ', source) AS answer, quality = 0 AS add_to_kb, CASE WHEN lang <> 'es' THEN lang END AS category FROM labels JOIN documents USING (doc_id)),
     turn AS (SELECT r.*, f.k, row_number() OVER (PARTITION BY f.k ORDER BY flag_id) AS nth, (SELECT count(*) FROM keyed o WHERE o.k = f.k AND NOT o.resolved) AS n FROM res r JOIN keyed f ON f.id = r.flag_id),
     good AS (SELECT * FROM turn WHERE nth = 1 AND n > 0 AND NOT (add_to_kb AND category IS NULL))"""
 

@@ -26,12 +26,19 @@ def _read_dialect(text: str) -> tuple[str, str]:
     return found.delimiter, found.quotechar or '"'
 
 
-def _parsed(documents: DataFrame) -> DataFrame:
-    """Cells of (doc_id, content) files; a file that cannot be read has one row with its error."""
+def parse(documents: DataFrame) -> DataFrame:
+    """(doc_id, row_idx, cells, delimiter, quote, error) of (doc_id, content) files.
+
+    ``content`` is text or UTF-8 bytes of one whole file; cells are stripped.  A
+    file that cannot be read has one row with its error, a null file none.  Store
+    the result to use ``cells_of`` and ``errors_of`` on one parse.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, content in zip(batch["doc_id"], batch["content"]):
+                if content is None:
+                    continue
                 try:
                     text = content.decode("utf-8-sig") if isinstance(content, (bytes, bytearray)) else content.removeprefix("\ufeff")
                     delimiter, quote = _read_dialect(text)
@@ -56,13 +63,22 @@ def _frame(doc_id, start: int, rows: list, delimiter: str | None, quote: str | N
     )
 
 
+def cells_of(parsed: DataFrame) -> DataFrame:
+    """Cells of the files that could be read."""
+    return parsed.filter("error IS NULL").drop("error")
+
+
+def errors_of(parsed: DataFrame) -> DataFrame:
+    """(doc_id, error) of the files that could not."""
+    return parsed.filter("error IS NOT NULL").select("doc_id", "error")
+
+
 def parse_grids(documents: DataFrame) -> DataFrame:
     """(doc_id, row_idx, cells, delimiter, quote) of (doc_id, content) files.
 
-    ``content`` is text or UTF-8 bytes of one whole file; cells are stripped.  A
-    file that cannot be read has no rows here and does not stop the others.
+    A file that cannot be read has no rows here and does not stop the others.
     """
-    return _parsed(documents).filter("error IS NULL").drop("error")
+    return cells_of(parse(documents))
 
 
 def header_cells(documents: DataFrame) -> DataFrame:
@@ -92,7 +108,7 @@ def header_cells(documents: DataFrame) -> DataFrame:
 
 def grid_errors(documents: DataFrame) -> DataFrame:
     """(doc_id, error) of the files that ``parse_grids`` leaves out."""
-    return _parsed(documents).filter("error IS NOT NULL").select("doc_id", "error")
+    return errors_of(parse(documents))
 
 
 def read_grids(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from answerloom.functions import text as X
+from answerloom.operators.ranking import running_total
+from answerloom.operators.skew import lookup
 
 FIELDS = ("category", "question", "answer")
 ROWS_PER_BATCH = 10_000
@@ -20,25 +22,65 @@ def _plain(name: str) -> str:
     return name.strip().lower().lstrip("\ufeff")
 
 
-def read_qa_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, row_no, category, question, answer), each file by its own header.
+def parse_qa_csv(files: DataFrame) -> DataFrame:
+    """(source_file, row_no, category, question, answer, error) of (source_file, content) files, each by its own header.
 
     Header names are trimmed, lower-cased and freed of a byte-order mark; of
-    columns of one name the last counts, missing columns and empty values are
-    null.  A file is one task's work.
+    columns of one name the last counts.  Missing columns, cells that a short row
+    lacks, and empty values are null; surplus cells of a long row are passed
+    over.  A file that cannot be decoded or parsed gives one more row with its
+    error, after the records read before it.  A file is one task's work.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(2**31 - 1)
         for batch in batches:
-            for source, content in zip(batch["path"], batch["content"]):
-                reader = csv.DictReader(io.StringIO(content.decode("utf-8-sig", "replace"), newline=""))
-                place = {_plain(n): n for n in reader.fieldnames or ()}
-                rows = enumerate(([row.get(place.get(f)) or None for f in FIELDS] for row in reader), 1)
-                while part := list(islice(rows, ROWS_PER_BATCH)):
-                    yield pd.DataFrame([(source, n, *values) for n, values in part], columns=["source_file", "row_no", *FIELDS])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "source_file string, row_no long, " + ", ".join(f"{f} string" for f in FIELDS))
+            for source, content in zip(batch["source_file"], batch["content"]):
+                if content is None:
+                    continue
+                last = 0
+                try:
+                    reader = csv.DictReader(io.StringIO(bytes(content).decode("utf-8-sig"), newline=""))
+                    place = {_plain(n or ""): n for n in reader.fieldnames or ()}
+                    rows = enumerate(([row.get(place[f]) or None if f in place else None for f in FIELDS] for row in reader), 1)
+                    while part := list(islice(rows, ROWS_PER_BATCH)):
+                        last = part[-1][0]
+                        yield _records([(source, n, *values, None) for n, values in part])
+                except (UnicodeDecodeError, csv.Error) as problem:
+                    yield _records([(source, last + 1, None, None, None, str(problem))])
+
+    kind = files.schema["source_file"].dataType.simpleString()
+    texts = ", ".join(f"{f} string" for f in (*FIELDS, "error"))
+    return files.select("source_file", F.col("content").cast("binary").alias("content")).mapInPandas(run, f"source_file {kind}, row_no long, {texts}")
+
+
+def _records(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["source_file", "row_no", *FIELDS, "error"])
+
+
+def read_qa_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, row_no, category, question, answer) of the CSV files under a path that can be read."""
+    return parse_qa_csv(_binary(spark, path)).filter("error IS NULL").drop("error")
+
+
+def qa_csv_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, row_no, error) of the CSV files under a path that cannot be read to their end."""
+    return parse_qa_csv(_binary(spark, path)).filter("error IS NOT NULL").select("source_file", "row_no", "error")
+
+
+def _binary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), "content")
+
+
+def numbered(records: DataFrame) -> DataFrame:
+    """Records of several files with ``row_no`` running over all of them, by file and row; ``file_row`` keeps the row in its file.
+
+    Later steps order updates and ties by ``row_no`` alone, so an import of
+    several files repeats only with numbers that are unique.
+    """
+    sizes = records.groupBy("source_file").agg(F.max("row_no").alias("_rows"))
+    before = running_total(sizes, "source_file", F.col("_rows"), "_before").select("source_file", "_before")
+    return lookup(records.withColumn("file_row", F.col("row_no")), before, ["source_file"], "inner").withColumn("row_no", F.col("_before") + F.col("row_no")).drop("_before")
 
 
 def _field(record: Column, name: str) -> Column:
