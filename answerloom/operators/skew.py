@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Keys that get their own counters, and the share of the rows that makes a key hot.
 TRACKED = 10_000
@@ -15,14 +17,19 @@ def hot_keys(rows: DataFrame, keys: list[str], share: float = SHARE) -> list[int
     A sketch counts too high, never too low, so no hot key is missed.
     """
     most = int(1 / share)
-    digest = F.xxhash64(*keys)
-    known = rows.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
-    top, total = known.agg(F.expr(f"approx_top_k(xxhash64({', '.join(f'`{k}`' for k in keys)}), {most}, {TRACKED})"), F.count(digest)).head()
+    known = rows.select(_digest(keys).alias("digest")).filter("digest IS NOT NULL")
+    top, total = known.agg(F.expr(f"approx_top_k(digest, {most}, {TRACKED})"), F.count(F.lit(1))).head()
     return sorted(r["item"] for r in top if total and r["count"] >= share * total)
 
 
+def _digest(keys: list[str]) -> Column:
+    """Hash of the keys as texts, so that an int and a bigint agree; null if one is null."""
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    return F.when(known, F.xxhash64(*[F.col(k).cast("string") for k in keys]))
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left", counted: DataFrame | None = None) -> DataFrame:
-    """``rows`` joined with a ``table`` that has one row per key.
+    """``rows`` joined with a ``table`` that has one row per key; keys are whole numbers or texts.
 
     Rows of hot keys meet a broadcast of their few lookup rows where they are;
     all others meet by an ordinary shuffle.  ``counted`` has the same keys as
@@ -31,6 +38,6 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left"
     hot = hot_keys(rows if counted is None else counted, keys)
     if not hot:
         return rows.join(table, keys, how)
-    is_hot = F.coalesce(F.xxhash64(*keys).isin(hot), F.lit(False)) & F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    is_hot = F.coalesce(_digest(keys).isin(hot), F.lit(False))
     few = F.broadcast(table.filter(is_hot))
     return rows.filter(is_hot).join(few, keys, how).unionByName(rows.filter(~is_hot).join(table.filter(~is_hot), keys, how))

@@ -23,6 +23,8 @@ def hot(spark, n=2000, share=0.8):
 def test_hot_keys_are_found_and_nulls_are_none(spark):
     found = hot_keys(hot(spark).unionByName(spark.range(5000).select("id", F.lit(None).cast("string").alias("key"))), ["key"])
     assert found == [r[0] for r in spark.sql("SELECT xxhash64('hot')").collect()]
+    whole = spark.range(10).select(F.lit(4).alias("key"))
+    assert hot_keys(whole, ["key"]) == hot_keys(whole.select(F.col("key").cast("long")), ["key"]) != []
     assert hot_keys(hot(spark).limit(0), ["key"]) == []
     assert hot_keys(spark.range(1000).select(F.col("id").alias("key")), ["key"]) == []
 
@@ -34,6 +36,12 @@ def test_lookup_equals_a_plain_join(spark, how):
     assert rows(lookup(big, table, ["key"], how)) == rows(big.join(table, ["key"], how))
 
 
+def test_lookup_of_keys_of_other_width(spark):
+    big = spark.range(50).select(F.lit(4).alias("key"), "id")
+    table = spark.createDataFrame([(4, "four"), (5, "five")], "key long, name string")
+    assert lookup(big, table, ["key"]).filter("name = 'four'").count() == 50
+
+
 def test_hot_rows_are_not_shuffled(spark):
     big = hot(spark)
     table = big.groupBy("key").agg(F.max("id").alias("top"))
