@@ -40,6 +40,8 @@ WINDOW = 20
 ANCHOR = 6
 #: Window starts whose anchors are found at once.
 SECTION = 1 << 20
+#: Anchors are told apart by 48 bits: taking two for one only looks up more windows.
+ROUTE_SHIFT = np.uint64(16)
 
 
 def _grams(words: np.ndarray, size: int) -> np.ndarray:
@@ -91,28 +93,21 @@ def _first_copies(values: np.ndarray, rank: np.ndarray, start: np.ndarray) -> np
 
 
 def _ranks(rows: pa.Table) -> np.ndarray:
-    """Rank of each row's document by (id, null last, tie); rows of one document share it."""
-    keys = rows.select(["id", "tie"])
-    order = pc.sort_indices(keys, sort_keys=[("id", "ascending"), ("tie", "ascending")]).to_numpy()
-    ids, ties = keys.column("id").combine_chunks(), keys.column("tie").combine_chunks()
-    sorted_ids, sorted_ties = ids.take(pa.array(order)).to_pylist(), ties.take(pa.array(order)).to_pylist()
-    new = [0] + [int((a, b) != (c, d)) for a, b, c, d in zip(sorted_ids, sorted_ties, sorted_ids[1:], sorted_ties[1:])]
+    """Rank of each row's document by (lost, id, tie); rows of one document share it."""
+    keys = rows.select(["id", "tie"]).append_column("lost", pc.less(rows.column("tie"), 0))
+    order = pc.sort_indices(keys, sort_keys=[(n, "ascending") for n in ("lost", "id", "tie")])
+    ids, ties = keys.column("id").take(order).to_pylist(), keys.column("tie").take(order).to_pylist()
+    new = [0] + [int((a, b) != (c, d)) for a, b, c, d in zip(ids, ties, ids[1:], ties[1:])]
     out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new[: len(order)])
+    out[order.to_numpy()] = np.cumsum(new[: len(order)])
     return out
 
 
-def _settled(rows: pa.Table, text: np.ndarray, start: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows that repeat an earlier one of the same chunk, their first copies, and numbers that set such rows apart."""
+def _settled(rows: pa.Table, text: np.ndarray, start: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that repeat an earlier one of the same chunk, and the first copies of all rows."""
     rank = _ranks(rows)[text] if len(text) else text
     copy = _first_copies(value, rank, start)
-    later = (rank[copy] != rank) | (start[copy] != start)
-    apart = mixed(value ^ mixed(start.astype(np.uint64)) ^ mixed(rank.astype(np.uint64) + np.uint64(7)))
-    return later, copy, apart
-
-
-def _signed(values: np.ndarray) -> pa.Array:
-    return pa.array(values.view(np.int64))
+    return (rank[copy] != rank) | (start[copy] != start), copy
 
 
 def _cell_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,18 +116,18 @@ def _cell_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(text):
             continue
         start = begin - words.firsts[text]
-        later, copy, apart = _settled(rows, text, start, cell)
-        keys = rows.select(["id", "tie"])
-        own, source = keys.take(pa.array(text)), keys.take(pa.array(text[copy]))
+        later, copy = _settled(rows, text, start, cell)
+        own, source = rows.select(["id", "tie", "apart"]).take(pa.array(text)), rows.select(["id", "tie"]).take(pa.array(text[copy]))
+        named = later & (source.column("tie").to_numpy() >= 0)
         yield from pa.table(
             {
                 "id": own.column("id"),
                 "tie": own.column("tie"),
                 "start": pa.array(start, pa.int32()),
                 "windows": pa.array(number, pa.int32()),
-                "route": _signed(np.where(later, apart, anchor)),
+                "route": pa.array(np.where(later, own.column("apart").to_numpy(), (anchor >> ROUTE_SHIFT).view(np.int64))),
                 "cell": pa.array(cell.view(np.int64), mask=later),
-                "source": _where(source.column("id"), later),
+                "source": _where(source.column("id"), named),
                 "source_start": pa.array(start[copy], pa.int32(), mask=~later),
             }
         ).to_batches()
@@ -163,14 +158,14 @@ def _window_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(at):
             continue
         value = _grams(words.hashes, WINDOW)[words.firsts[text] + at]
-        later, _, apart = _settled(rows, text, at, value)
-        own = rows.select(["id", "tie"]).take(pa.array(text))
+        later, _ = _settled(rows, text, at, value)
+        own = rows.select(["id", "tie", "apart"]).take(pa.array(text))
         yield from pa.table(
             {
                 "id": own.column("id"),
                 "tie": own.column("tie"),
                 "start": pa.array(at, pa.int32()),
-                "route": _signed(np.where(later, apart, value)),
+                "route": pa.array(np.where(later, own.column("apart").to_numpy(), value.view(np.int64))),
                 "later": pa.array(later),
             }
         ).to_batches()
@@ -210,6 +205,7 @@ def _parse_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.table(
             {
                 "id": rows.column("id"),
+                "tie": rows.column("tie"),
                 "n_words": pa.array(words.counts, pa.int64()),
                 "n_removed": pa.array(np.diff(removed)),
                 "kept": words.joined(kept),
@@ -218,8 +214,21 @@ def _parse_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ).to_batches()
 
 
-def _order(*more: str) -> list[Column]:
-    return [F.col("id").asc_nulls_last(), *map(F.col, ("tie", "start", *more))]
+def _order() -> list[Column]:
+    return [(F.col("tie") < 0).asc(), *map(F.col, ("id", "tie", "start"))]
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, tie, text): ``tie`` is negative for a null id, and holds a hash of the text if any id repeats."""
+    kind = docs.select(F.col(doc_id).alias("id")).schema["id"].dataType.simpleString()
+    whole = F.coalesce(F.col(text), F.lit(""))
+    # only whether an id repeats reaches the driver
+    repeats = bool(docs.groupBy(F.col(doc_id)).count().filter("count > 1").limit(1).count())
+    own = F.hash(whole).cast("long") + 2**31 if repeats else F.lit(0).cast("long")
+    given = docs.select(F.col(doc_id).alias("given"), whole.alias("text"))
+    return given.select(
+        F.coalesce("given", F.lit("0").cast(kind)).alias("id"), F.when(F.col("given").isNull(), -1 - own).otherwise(own).alias("tie"), "text"
+    )
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,30 +238,42 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     space; ``factors`` lists (start, length, source, source_start) of the long
     factors, where ``source`` is an earlier document that holds the same words.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    given = docs.select(F.col(doc_id).alias("id"), F.hash(whole).alias("tie"), whole.alias("text"))
+    given = _keyed(docs, doc_id, text)
     kind = given.schema["id"].dataType.simpleString()
-    found = given.mapInArrow(_cell_task, f"id {kind}, tie int, start int, windows int, route long, cell long, source {kind}, source_start int")
+    # settled rows of a document go to a place of their own; not a column of ``given``, so that its texts are dealt out once
+    apart = F.xxhash64("id", "tie").alias("apart")
+    found = given.select("id", "tie", apart, "text").mapInArrow(_cell_task, f"id {kind}, tie long, start int, windows int, route long, cell long, source {kind}, source_start int")
     by_cell = Window.partitionBy("route", "cell").orderBy(*_order())
     indexed = (
-        found.withColumns({"place": F.rank().over(by_cell), "first": F.first(F.struct("id", "start")).over(by_cell)})
+        found.repartition("route")
+        .withColumns({"place": F.rank().over(by_cell), "first": F.first(F.struct("id", "tie", "start")).over(by_cell)})
+        .filter("place > 0")  # keeps the windows in this order, so that one sort serves both
         .withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("route")))
         .withColumn("later", F.col("cell").isNull())
         .filter("copies > 1 OR later")
     )
     copied = F.col("later") | (F.col("place") > 1)
-    source = lambda near, far: F.when(F.col("later"), F.col(near)).when(F.col("place") > 1, F.col(far))
-    mark = F.struct("start", "windows", copied.alias("copied"), source("source", "first.id").alias("source"), source("source_start", "first.start").alias("source_start"))
-    marks = indexed.groupBy("id", "tie").agg(F.collect_list(mark).alias("cells"))
-    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["tie"] == b["tie"])
-    marked = given.join(marks, same(given, marks), "left").select(given["id"], given["tie"], given["text"], "cells")
+    far = F.when(F.col("first.tie") >= 0, F.col("first.id"))
+    mark = F.struct(
+        "start", "windows", copied.alias("copied"), F.when(F.col("later"), F.col("source")).when(F.col("place") > 1, far).alias("source"),
+        F.when(F.col("later"), F.col("source_start")).when(F.col("place") > 1, F.col("first.start")).alias("source_start"),
+    )
+    # a hash join takes the marks of a partition into memory and does not sort the texts
+    marks = indexed.groupBy("id", "tie").agg(F.collect_list(mark).alias("cells")).hint("shuffle_hash")
+    marked = given.join(marks, ["id", "tie"], "left")
     looked = (
         marked.filter(F.exists("cells", lambda c: ~c["copied"]))
-        .mapInArrow(_window_task, f"id {kind}, tie int, start int, route long, later boolean")
+        .select("id", "tie", apart, "text", "cells")
+        .mapInArrow(_window_task, f"id {kind}, tie long, start int, route long, later boolean")
         .withColumn("place", F.rank().over(Window.partitionBy("route").orderBy(*_order())))
         .filter("later OR place > 1")
+        .select("id", "tie", "start")
+        .repartition("id", "tie")  # rows are smaller than lists of one start each
         .groupBy("id", "tie")
         .agg(F.collect_set(F.struct("start")).alias("looked"))
+        .hint("shuffle_hash")
     )
-    joined = marked.join(looked, same(marked, looked), "left").select(marked["id"], marked["tie"], marked["text"], "cells", "looked")
-    return joined.mapInArrow(_parse_task, f"id {kind}, n_words long, n_removed long, kept string, factors array<struct<start:long,length:long,source:{kind},source_start:long>>").withColumnRenamed("id", "doc_id")
+    parsed = marked.join(looked, ["id", "tie"], "left").select("id", "tie", "text", "cells", "looked")
+    factors = f"array<struct<start:long,length:long,source:{kind},source_start:long>>"
+    done = parsed.mapInArrow(_parse_task, f"id {kind}, tie long, n_words long, n_removed long, kept string, factors {factors}")
+    return done.select(F.when(F.col("tie") >= 0, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept", "factors")
