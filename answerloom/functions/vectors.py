@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, functions as F, types as T
 VECTOR = T.ArrayType(T.FloatType())
 HASHED_DIMENSIONS = 256
 MODEL_BATCH = 32
+EMBED_BATCH = 256
 _TOKEN_CACHE_LIMIT = 500_000
 
 
@@ -56,23 +58,27 @@ def hashed_embedding(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     words = re.compile(r"\w+")
     buckets: dict[str, int] = {}
 
-    def embed_one(text):
-        if text is None:
-            return None
-        found = []
-        for token in words.findall(text.lower()):
-            bucket = buckets.get(token)
-            if bucket is None:
-                if len(buckets) >= _TOKEN_CACHE_LIMIT:
-                    buckets.clear()
-                bucket = buckets[token] = _token_bucket(token)
-            found.append(bucket)
-        counts = np.bincount(np.asarray(found, dtype=np.int64), minlength=HASHED_DIMENSIONS).astype("f8")
-        norm = np.sqrt((counts * counts).sum())
-        return (counts / norm if norm > 0 else counts).astype("f4")
+    def embed_some(texts: list[str]) -> np.ndarray:
+        tokens = [words.findall(t.lower()) for t in texts]
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        if len(buckets) >= _TOKEN_CACHE_LIMIT:
+            buckets.clear()
+        new = set(chain.from_iterable(tokens)).difference(buckets)
+        buckets.update((token, _token_bucket(token)) for token in new)
+        found = np.fromiter(map(buckets.__getitem__, chain.from_iterable(tokens)), np.int64, sizes.sum())
+        cells = np.repeat(np.arange(len(texts)) * HASHED_DIMENSIONS, sizes) + found
+        counts = np.bincount(cells, minlength=len(texts) * HASHED_DIMENSIONS).reshape(len(texts), -1).astype("f8")
+        norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        return (counts / np.where(norms > 0, norms, 1.0)).astype("f4")
 
     for texts in batches:
-        yield pd.Series([embed_one(t) for t in texts])
+        rows: list = [None] * len(texts)
+        kept = [i for i, t in enumerate(texts) if t is not None]
+        for start in range(0, len(kept), EMBED_BATCH):
+            part = kept[start : start + EMBED_BATCH]
+            for i, vector in zip(part, embed_some([texts.iloc[i] for i in part])):
+                rows[i] = vector
+        yield pd.Series(rows)
 
 
 def model_embedding(load_model: Callable[[], Callable[[list[str]], np.ndarray]]):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,7 +16,7 @@ from answerloom.operators.components import connected_components
 from answerloom.operators.matching import live
 from answerloom.operators.ranking import page as _page, with_positions
 from answerloom.operators.similarity import cluster_edges, pairs_between
-from answerloom.operators.skew import lookup
+from answerloom.operators.skew import hot_keys, lookup
 from answerloom.session import durable
 
 PAIR_CHUNK = 512
@@ -97,6 +99,16 @@ def flag_new_duplicates(
     )
 
 
+def _products(a: pa.Table, b: pa.Table) -> pa.Table:
+    """Dot products of two chunks of one cluster for all pairs with a smaller first id."""
+    a_ids, b_ids = a.column("id").to_numpy(), b.column("id").to_numpy()
+    i, j = np.nonzero(a_ids[:, None] < b_ids[None, :])
+    vectors = [t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).astype("f8") if t.num_rows else np.zeros((0, 1)) for t in (a, b)]
+    products = vectors[0] @ vectors[1].T if a.num_rows and b.num_rows else np.zeros((a.num_rows, b.num_rows))
+    root = (a if a.num_rows else b).column("root")
+    return pa.table({"root": root.take(pa.array(np.zeros(len(i), np.int64))), "a": pa.array(a_ids[i], pa.int64()), "b": pa.array(b_ids[j], pa.int64()), "s": products[i, j]})
+
+
 def pairs_to_classify(
     kb: DataFrame, reviews: DataFrame, threshold: float = K.CLASSIFY_THRESHOLD, category: str | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -117,11 +129,16 @@ def pairs_to_classify(
         "root", "id", "embedding", F.floor((F.col("_at") - 1) / PAIR_CHUNK).cast("long").alias("chunk")
     ))
     chunks = reps.groupBy("root").agg(F.max("chunk").alias("last"))
-    left = reps.join(chunks, "root").select(
-        "root", F.col("id").alias("a"), F.col("embedding").alias("va"), F.explode(F.sequence("chunk", "last")).alias("chunk_b")
+    vec = F.col("embedding").cast("array<float>").alias("vec")
+    left = reps.join(chunks, "root").select("root", F.col("chunk").alias("l"), F.explode(F.sequence("chunk", "last")).alias("r"), "id", vec)
+    fresh = reps.toDF(*[f"_{c}" for c in reps.columns])  # the same rows as other columns
+    right = fresh.select(
+        F.col("_root").alias("root"), F.explode(F.sequence(F.lit(0).cast("long"), "_chunk")).alias("l"), F.col("_chunk").alias("r"),
+        F.col("_id").alias("id"), F.col("_embedding").cast("array<float>").alias("vec"),
     )
-    right = reps.select("root", F.col("chunk").alias("chunk_b"), F.col("id").alias("b"), F.col("embedding").alias("vb"))
-    among = left.join(right, ["root", "chunk_b"]).filter("a < b").select("root", "a", "b", dot(F.col("va"), F.col("vb")).alias("s"))
+    tile = ["root", "l", "r"]
+    kind = reps.schema["root"].dataType.simpleString()
+    among = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(_products, f"root {kind}, a long, b long, s double")
     same = marked.filter("id > rep").select(
         "root", F.col("rep").alias("a"), F.col("id").alias("b"), dot(F.col("embedding"), F.col("embedding")).alias("s")
     )
@@ -237,23 +254,23 @@ def recommended_actions(reviews: DataFrame) -> DataFrame:
     return judged.select(F.col("id").alias("review_id"), action.alias("action"))
 
 
-def _first_two(rows: DataFrame, key: str, tag: str) -> DataFrame:
+def _first_two(rows: DataFrame, key: str, tag: str, hot: list[int]) -> DataFrame:
     """Per key the two smallest ``seq`` and the smallest that is certain."""
     first = rows.groupBy(key).agg(F.min("seq").alias(f"lo_{tag}"), F.min(F.when(F.col("ok"), F.col("seq"))).alias(f"hi_{tag}"))
-    later = lookup(rows, first, [key], "inner").filter(F.col("seq") > F.col(f"lo_{tag}")).groupBy(key).agg(F.min("seq").alias(f"next_{tag}"))
+    later = lookup(rows, first, [key], "inner", hot=hot).filter(F.col("seq") > F.col(f"lo_{tag}")).groupBy(key).agg(F.min("seq").alias(f"next_{tag}"))
     return first.join(later, key, "left")
 
 
-def _settle(state: DataFrame) -> DataFrame:
+def _settle(state: DataFrame, hot: dict[str, list[int]]) -> DataFrame:
     """Actions whose earlier rivals decide them; one with a single open rival points at it."""
     open_ = state.filter(F.col("ok").isNull() | F.col("ok"))
-    deleting = durable(_first_two(open_.filter(F.col("doomed").isNotNull()).select(F.col("doomed").alias("entry"), "seq", "ok"), "entry", "e"))
-    turns = _first_two(open_.select("review_id", "seq", "ok"), "review_id", "r")
+    deleting = durable(_first_two(open_.filter(F.col("doomed").isNotNull()).select(F.col("doomed").alias("entry"), "seq", "ok"), "entry", "e", hot["doomed"]))
+    turns = _first_two(open_.select("review_id", "seq", "ok"), "review_id", "r", hot["review_id"])
     looked = state
     for s in ("a", "b"):
         side = deleting.select(F.col("entry").alias(f"entry_{s}_id"), *[F.col(f"{n}_e").alias(f"{n}_{s}") for n in ("lo", "next", "hi")])
-        looked = lookup(looked, side, [f"entry_{s}_id"], counted=state)
-    looked = lookup(looked, turns, ["review_id"], counted=state)
+        looked = lookup(looked, side, [f"entry_{s}_id"], hot=hot[f"entry_{s}_id"])
+    looked = lookup(looked, turns, ["review_id"], hot=hot["review_id"])
     every = lambda *names: F.array(*[F.col(f"{n}_{s}") for n in names for s in ("a", "b", "r")])
     earlier = lambda places: F.array_distinct(F.filter(places, lambda x: x < F.col("seq")))
     rivals = earlier(every("lo", "next"))
@@ -307,8 +324,9 @@ def apply_review_actions(
     able = F.coalesce(F.col("status") == "pending", F.lit(False)) & F.coalesce("_live_a", F.lit(False)) & F.coalesce("_live_b", F.lit(False))
     start = base.withColumns({"doomed": doomed, "ok": F.when(~able, False), "ptr": F.lit(None).cast("long"), "flip": F.lit(False)})
     state = durable(start.withColumn("seq", F.col("seq").cast("long")))
+    hot = {key: hot_keys(state, [key]) for key in ("entry_a_id", "entry_b_id", "review_id", "doomed")}
     while True:
-        state = _jump(durable(_settle(state)))
+        state = _jump(durable(_settle(state, hot)))
         if not state.filter(F.col("ok").isNull()).limit(1).count():
             break
     won = state.filter("ok")

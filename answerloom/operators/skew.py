@@ -28,14 +28,14 @@ def _digest(keys: list[str]) -> Column:
     return F.when(known, F.xxhash64(*[F.col(k).cast("string") for k in keys]))
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left", counted: DataFrame | None = None) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left", counted: DataFrame | None = None, hot: list[int] | None = None) -> DataFrame:
     """``rows`` joined with a ``table`` that has one row per key; keys are whole numbers or texts.
 
     Rows of hot keys meet a broadcast of their few lookup rows where they are;
     all others meet by an ordinary shuffle.  ``counted`` has the same keys as
-    ``rows`` and is cheaper to read.
+    ``rows`` and is cheaper to read; ``hot`` are hot keys that are known already.
     """
-    hot = hot_keys(rows if counted is None else counted, keys)
+    hot = hot_keys(rows if counted is None else counted, keys) if hot is None else hot
     if not hot:
         return rows.join(table, keys, how)
     is_hot = F.coalesce(_digest(keys).isin(hot), F.lit(False))
