@@ -53,17 +53,32 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", chars:
             yield whole.slice(start), texts[start:]
 
 
+#: Bytes of a memo of words in a Python worker, and of a word in it besides its letters.
+MEMO_BYTES = 64 << 20
+WORD_BYTES = 160
+
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """The one thing that a Python worker keeps between tasks: made anew when another name was held."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 class WordTable:
     """Bounded memo from words to arrays of numbers.
 
     ``describe(words)`` returns the lengths and the values of the words' arrays,
     one after the other.  It is called once for each word that is not known.
-    When the table is full it starts again from nothing, so memory is bounded
-    and results never depend on what was seen before.
+    When the table has grown to its budget of bytes it starts again from nothing,
+    so memory is bounded and results never depend on what was seen before.
     """
 
-    def __init__(self, describe: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype, limit: int = 400_000):
-        self.describe, self.dtype, self.limit = describe, dtype, limit
+    def __init__(self, describe: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype, budget: int = MEMO_BYTES):
+        self.describe, self.dtype, self.budget = describe, dtype, budget
         self._clear()
 
     def _clear(self) -> None:
@@ -71,11 +86,16 @@ class WordTable:
         self.starts = np.zeros(1024, np.int64)
         self.lengths = np.zeros(1024, np.int64)
         self.values = np.zeros(4096, self.dtype)
-        self.used = 0
+        self.used = self.letters = 0
+
+    @property
+    def bytes(self) -> int:
+        """About what the table holds: its arrays, and for each word its letters and places in the dictionary."""
+        return self.values.nbytes + self.starts.nbytes + self.lengths.nbytes + self.letters + WORD_BYTES * len(self.known)
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Row number of each word; valid until the next call."""
-        if len(self.known) > self.limit:
+        if self.bytes > self.budget:
             self._clear()
         found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(found < 0)
@@ -90,6 +110,7 @@ class WordTable:
         first = len(self.known)
         last = first + len(words)
         self.known.update(zip(words, range(first, last)))
+        self.letters += sum(map(len, words))
         self.starts, self.lengths = _room(self.starts, last), _room(self.lengths, last)
         self.values = _room(self.values, self.used + len(values))
         self.lengths[first:last] = lengths

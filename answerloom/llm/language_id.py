@@ -14,16 +14,17 @@ nothing.  Other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from answerloom.llm.common import WordTable, stored, sums_by_part, text_chunks
+from answerloom.llm.common import WordTable, held, stored, sums_by_part, text_chunks
 from answerloom.operators.ranking import first_per_group
 
 #: Documents counted of each language, about.
@@ -35,50 +36,60 @@ LONGEST = 5
 TEMPER = 0.5
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
-_TABLES: dict[str, WordTable] = {}
+#: The same letters as in what is counted: figures and signs that only look like letters are none.
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 @dataclass
 class LanguageModel:
+    """Rows of log frequencies, one column for each language, by word and by n-gram."""
+
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    floor: np.ndarray
+    words: dict[str, int]
+    grams: dict[str, int]
+    table: np.ndarray
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def word(self, word: str) -> np.ndarray:
-        """Evidence of one word for each language; the best language has 0."""
-        known = self.words.get(word)
-        if known is None:
-            marked = f"^{word}$"
-            for n in range(LONGEST, 0, -1):
-                found = [g for i in range(len(marked) - n + 1) if (g := self.grams.get(marked[i : i + n])) is not None]
-                if found:
-                    known = np.mean(found, axis=0)
-                    break
-            else:
-                return np.zeros(len(self.languages), np.float32)
-        return known - known.max()
+    def pieces(self, word: str) -> list[int]:
+        """Rows that speak for a word: its own, else those of its longest known n-grams."""
+        own = self.words.get(word)
+        if own is not None:
+            return [own]
+        marked, known = f"^{word}$", self.grams.get
+        for n in range(min(LONGEST, len(marked)), 0, -1):
+            found = [g for i in range(len(marked) - n + 1) if (g := known(marked[i : i + n])) is not None]
+            if found:
+                return found
+        return []
 
     def describe(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Evidence and number of words of each token between blanks."""
+        """Evidence and number of words of each token between blanks.
+
+        A word's evidence is the mean of its rows, less that of its best language;
+        all words of a batch are looked up and summed at once.
+        """
+        words = [_LETTERS.findall(token) for token in tokens]
+        rows = [self.pieces(word) for own in words for word in own]
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        means = sums_by_part(self.table[np.fromiter(chain.from_iterable(rows), np.int64, sizes.sum())], sizes) / np.maximum(sizes, 1)[:, None]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
         out = np.zeros((len(tokens), len(self.languages) + 1), np.float32)
-        for row, token in zip(out, tokens):
-            for word in _LETTERS.findall(token):
-                row[:-1] += self.word(word)
-                row[-1] += 1
+        if self.languages:
+            out[:, :-1] = sums_by_part(means - means.max(axis=1, keepdims=True), counts)
+        out[:, -1] = counts
         return np.full(len(tokens), out.shape[1]), out.ravel()
 
 
-def _log_frequencies(rows: list, languages: list[str], totals: dict[str, int], kept: dict[str, int]) -> dict[str, np.ndarray]:
+def _log_frequencies(rows: list, languages: list[str], totals: dict[str, int], kept: int) -> tuple[dict[str, int], np.ndarray]:
+    """Row number of each key and the rows; a language without the key has the least frequency."""
     place = {name: k for k, name in enumerate(languages)}
-    least = np.array([np.log(0.5 / (totals[name] + kept[name])) for name in languages], np.float32)
-    out: dict[str, np.ndarray] = {}
+    number: dict[str, int] = {}
+    for _, key, _ in rows:
+        number.setdefault(key, len(number))
+    table = np.tile(np.array([np.log(0.5 / (totals[name] + kept)) for name in languages], np.float32), (len(number), 1))
     for lang, key, n in rows:
-        k = place[lang]
-        out.setdefault(key, least.copy())[k] = np.log((n + 0.5) / (totals[lang] + kept[lang]))
-    return out
+        table[number[key], place[lang]] = np.log((n + 0.5) / (totals[lang] + kept))
+    return number, table
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS) -> LanguageModel:
@@ -88,7 +99,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return LanguageModel([], {}, {}, np.zeros(0))
+        return LanguageModel([], {}, {}, np.zeros((0, 0), np.float32))
     rate = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, sample / sizes[name]))])
     drawn = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(rate, F.col("lang")) * 1_000_000)
     tokens = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("key"))
@@ -106,12 +117,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int
     top_words = first_per_group(counted, ["lang"], best, words).select("lang", "key", "n").collect()
     top_grams = first_per_group(gram_counts.withColumn("size", F.length("key")), ["lang", "size"], best, grams).select("lang", "key", "n").collect()
     languages = sorted(totals)
-    return LanguageModel(
-        languages,
-        _log_frequencies(top_words, languages, totals, dict.fromkeys(languages, words)),
-        _log_frequencies(top_grams, languages, totals, dict.fromkeys(languages, grams)),
-        np.zeros(len(languages)),
-    )
+    own, word_rows = _log_frequencies(top_words, languages, totals, words)
+    parts, gram_rows = _log_frequencies(top_grams, languages, totals, grams)
+    return LanguageModel(languages, own, {key: len(own) + n for key, n in parts.items()}, np.concatenate([word_rows, gram_rows]))
 
 
 PREDICTED = T.StructType([
@@ -125,10 +133,7 @@ def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        if own.name not in _TABLES:
-            _TABLES.clear()
-            _TABLES[own.name] = WordTable(own.describe, np.float32, 300_000)
-        memo, width = _TABLES[own.name], len(own.languages) + 1
+        memo, width = held(own.name, lambda: WordTable(own.describe, np.float32)), len(own.languages) + 1
         for rows, texts in text_chunks(batches):
             split = [t.lower().split() for t in texts]
             _, values = memo.gather(memo.rows([w for words in split for w in words]))

@@ -341,3 +341,42 @@ def test_trie_odd(spark):
     long = {1: [("u", "t")] * 120, 2: [("u", "t")] * 119 + [("u", "s")]}
     deep = prefix_trie.nodes(prefix_trie.paths(turns_frame(spark, long)), 50).collect()
     assert sorted(str(tuple(r)) for r in deep) == trie_by_force(long)
+
+
+# --- what workers keep --------------------------------------------------------------
+
+
+def test_memo_is_bounded_by_bytes():
+    from answerloom.llm.common import WordTable, held
+
+    memo = WordTable(lambda words: (np.ones(len(words), np.int64), np.fromiter(map(len, words), np.int64, len(words))), np.int64, budget=200_000)
+    most = 0
+    for k in range(200):
+        words = [f"{'x' * (k % 9)}{n}" for n in range(k * 10, k * 10 + 100)]
+        assert memo.gather(memo.rows(words))[1].tolist() == list(map(len, words))
+        most = max(most, memo.bytes)
+    assert most < 300_000
+    assert held("a", list) is held("a", list)
+    first = held("a", list)
+    held("b", list)
+    assert held("a", list) is not first
+    held("c", list)
+
+
+def test_language_letters_and_batches(spark):
+    from answerloom.llm import language_id
+
+    rows = [(n, "the cat and the dog" if n % 2 else "der hund und die katze", "en" if n % 2 else "de") for n in range(40)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = [(1, "² ½ Ⅷ 12"), (2, "the cathedral"), (3, None), (4, "hundert katzen"), (5, "")]
+    got = {r.doc_id: (r.lang_pred, r.n_words) for r in language_id.predict(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert got[1][0] == got[3][0] == got[5][0] == "und" and got[2] == ("en", 2) and got[4] == ("de", 2)
+    tokens = ["the", "cathedral,x", "zzz", "", "und-katze"]
+    _, values = model.describe(tokens)
+    for token, row in zip(tokens, values.reshape(len(tokens), -1)):  # one word after the other
+        words = language_id._LETTERS.findall(token)
+        want = np.zeros(len(model.languages))
+        for word in words:
+            own = model.table[model.pieces(word)].mean(axis=0) if model.pieces(word) else want * 0
+            want = want + own - own.max()
+        assert np.allclose(row[:-1], want, atol=1e-4) and row[-1] == len(words)
