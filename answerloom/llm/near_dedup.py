@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from answerloom.llm.common import WordTable, stored, sums_by_part, text_chunks
+from answerloom.llm.common import WordTable, held, stored, sums_by_part, text_chunks
 from answerloom.operators.components import connected_components
 from answerloom.operators.ranking import first_per_group
 
@@ -52,7 +52,6 @@ BLOCK_PAIRS = 128
 _WORD = re.compile(r"[^\W_]+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_MEMO: list[WordTable] = []
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -70,10 +69,9 @@ def _describe(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Number of words of each text and the hashes of all words."""
-    if not _MEMO:
-        _MEMO.append(WordTable(_describe, np.uint64))
+    memo = held("near_dedup", lambda: WordTable(_describe, np.uint64))
     split = [t.lower().split() for t in texts]
-    per_token, hashes = _MEMO[0].gather(_MEMO[0].rows([w for words in split for w in words]))
+    per_token, hashes = memo.gather(memo.rows([w for words in split for w in words]))
     counts = sums_by_part(per_token, np.array([len(w) for w in split], np.int64)).astype(np.int64)
     return counts, hashes
 

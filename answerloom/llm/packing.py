@@ -29,7 +29,7 @@ import pyspark
 import regex
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from answerloom.llm.common import WordTable, stored, text_chunks
+from answerloom.llm.common import WordTable, held, stored, text_chunks
 
 LENGTH = 4096
 END = 2
@@ -44,11 +44,12 @@ PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
 
+#: Parts of words whose ids a Python worker keeps, besides its memo of words.
+PARTS_KEPT = 150_000
+
 #: Letters that Python and the tokenizer surely treat alike end before this.
 BEYOND = re.compile(r"[^\x00-\u024f]")
 
-_ENCODERS: dict[str, "Encoder"] = {}
-
 
 class Encoder:
     """Token ids of whole texts, equal to the tokenizer's own, with a memo of words.
@@ -64,11 +65,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.memo = WordTable(self._describe, np.uint32, 600_000)
+        self.memo = WordTable(self._describe, np.uint32)
         self.parts: dict[str, list[int]] = {}
 
     def _describe(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.parts) > 300_000:
+        if len(self.parts) > PARTS_KEPT:
             self.parts.clear()
         known, split, out, lengths = self.parts, PARTS.findall, [], []
         for word in words:
@@ -116,9 +117,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker, kept across its tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(path, lambda: Encoder(path))
 
 
 PIECE = T.StructType([

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from answerloom.llm.common import WordTable, stored, sums_by_part, text_chunks
+from answerloom.llm.common import WordTable, held, stored, sums_by_part, text_chunks
 
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 20_000
@@ -58,7 +58,6 @@ _PLACE = {c: k + 1 for k, c in enumerate(ALPHABET)}
 _EDGE = re.compile(r"^[^\w@$!|+(€£¡]+|[^\w@$+€£]+$")
 _DECOR = re.compile(r"^(?:\W{3,})|(?:\W{3,})$")
 _HELD = re.compile(r"(.)\1\1")
-_TABLES: dict[str, WordTable] = {}
 
 
 def _codes() -> np.ndarray:
@@ -239,10 +238,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> tuple[float
 
 
 def _memo(model: ToxicityModel) -> WordTable:
-    if model.name not in _TABLES:
-        _TABLES.clear()
-        _TABLES[model.name] = WordTable(model.describe, np.float32, 300_000)
-    return _TABLES[model.name]
+    return held(model.name, lambda: WordTable(model.describe, np.float32))
 
 
 def learn(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, sample: int = SAMPLE) -> ToxicityModel:
