@@ -133,10 +133,11 @@ def resolve_flags_errors(spark, d):
 
 
 def _dismissals(spark, d) -> DataFrame:
-    return raw(spark, d, "supplier").select((F.col("s_suppkey") * 300001).alias("id"))
+    """Supplier s dismisses line s of document 3 s, where the document has that many lines."""
+    return raw(spark, d, "supplier").select((F.col("s_suppkey") * (3 * 4294967296 + 1)).alias("id"))
 
 
-DISMISS = f"""{KEYED}, want AS (SELECT s_suppkey * 300001 AS id FROM supplier), hit AS (SELECT DISTINCT k FROM keyed JOIN want USING (id))"""
+DISMISS = f"""{KEYED}, want AS (SELECT s_suppkey * (3 * 4294967296 + 1) AS id FROM supplier), hit AS (SELECT DISTINCT k FROM keyed JOIN want USING (id))"""
 
 
 @query(
