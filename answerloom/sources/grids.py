@@ -4,21 +4,38 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from answerloom.functions import text as X
 
 DELIMITERS = ",;\t|"
 ROWS_PER_BATCH = 10_000
+#: Characters of cells after which a batch ends before it has that many rows.
+BATCH_CHARS = 8 << 20
+#: Longest text without its cells' characters whose dialect a worker keeps in mind.
+SHAPE_CHARS = 1_000
+_CELL = re.compile(f"[^\\n{re.escape(DELIMITERS)}]+")
 
 
 def _read_dialect(text: str) -> tuple[str, str]:
     """(delimiter, quote): sniffed, comma and double quote when unclear."""
     if not text.strip():
         return ",", '"'
+    if '"' not in text and "'" not in text:
+        # without quotes only the delimiters of the lines count, and files of one layout agree in them
+        text = _CELL.sub("x", text)
+        if len(text) <= SHAPE_CHARS:
+            return _sniffed_shape(text)
+    return _sniffed(text)
+
+
+def _sniffed(text: str) -> tuple[str, str]:
     try:
         found = csv.Sniffer().sniff(text, delimiters=DELIMITERS)
     except csv.Error:
@@ -26,6 +43,9 @@ def _read_dialect(text: str) -> tuple[str, str]:
     return found.delimiter, found.quotechar or '"'
 
 
+_sniffed_shape = lru_cache(maxsize=20_000)(_sniffed)
+
+
 def parse(documents: DataFrame) -> DataFrame:
     """(doc_id, row_idx, cells, delimiter, quote, error) of (doc_id, content) files.
 
@@ -34,32 +54,46 @@ def parse(documents: DataFrame) -> DataFrame:
     the result to use ``cells_of`` and ``errors_of`` on one parse.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, content in zip(batch["doc_id"], batch["content"]):
-                if content is None:
-                    continue
-                try:
-                    text = content.decode("utf-8-sig") if isinstance(content, (bytes, bytearray)) else content.removeprefix("\ufeff")
-                    delimiter, quote = _read_dialect(text)
-                    rows = [[cell.strip() for cell in row] for row in csv.reader(text.splitlines(), delimiter=delimiter, quotechar=quote)]
-                except (UnicodeDecodeError, csv.Error) as problem:
-                    yield _frame(doc_id, 0, [None], None, None, str(problem))
-                    continue
-                for start in range(0, len(rows), ROWS_PER_BATCH):
-                    yield _frame(doc_id, start, rows[start : start + ROWS_PER_BATCH], delimiter, quote)
+            ids, found, chars = batch.column(0), [], 0
+            for at, content in enumerate(batch.column(1)):
+                for row in _parsed(content.as_py()):
+                    found.append((at, *row))
+                    chars += sum(map(len, row[1] or ()))
+                    if len(found) >= ROWS_PER_BATCH or chars >= BATCH_CHARS:
+                        yield _batch(ids, found)
+                        found, chars = [], 0
+            if found:
+                yield _batch(ids, found)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     # sniffing costs far more than its bytes suggest: spread the files evenly
     tasks = documents.sparkSession.sparkContext.defaultParallelism * 4
-    return documents.select("doc_id", "content").repartition(tasks, "doc_id").mapInPandas(
+    return documents.select("doc_id", "content").repartition(tasks, "doc_id").mapInArrow(
         run, f"doc_id {kind}, row_idx long, cells array<string>, delimiter string, quote string, error string"
     )
 
 
-def _frame(doc_id, start: int, rows: list, delimiter: str | None, quote: str | None, error: str | None = None) -> pd.DataFrame:
-    return pd.DataFrame(
-        {"doc_id": doc_id, "row_idx": range(start, start + len(rows)), "cells": rows, "delimiter": delimiter, "quote": quote, "error": error}
+def _parsed(content: str | bytes | None) -> list[tuple]:
+    """(row_idx, cells, delimiter, quote, error) of one file."""
+    if content is None:
+        return []
+    try:
+        text = content.decode("utf-8-sig") if isinstance(content, (bytes, bytearray)) else content.removeprefix("\ufeff")
+        delimiter, quote = _read_dialect(text)
+        rows = [[cell.strip() for cell in row] for row in csv.reader(text.splitlines(), delimiter=delimiter, quotechar=quote)]
+    except (UnicodeDecodeError, csv.Error) as problem:
+        return [(0, None, None, None, str(problem))]
+    return [(i, cells, delimiter, quote, None) for i, cells in enumerate(rows)]
+
+
+def _batch(ids: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+    """Rows (place of the file in ``ids``, row_idx, cells, delimiter, quote, error) of any number of files."""
+    at, row_idx, cells, *texts = zip(*found)
+    arrays = [ids.take(pa.array(at, pa.int64())), pa.array(row_idx, pa.int64()), pa.array(cells, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(
+        [*arrays, *(pa.array(t, pa.string()) for t in texts)], names=["doc_id", "row_idx", "cells", "delimiter", "quote", "error"]
     )
 
 
