@@ -27,7 +27,8 @@ def _json_type(json: Column) -> Column:
 
 
 def _is_object(json: Column) -> Column:
-    return _json_type(json).startswith("OBJECT")
+    """Whether a text without blanks in front is a JSON object."""
+    return json.startswith("{") & F.try_parse_json(json).isNotNull()
 
 
 def extract_json_object(content: Column) -> Column:
@@ -36,11 +37,10 @@ def extract_json_object(content: Column) -> Column:
     Code fences are removed; if the rest is no object, the text from the first
     opening to the last closing brace is tried.
     """
-    text = strip(content)
-    unfenced = F.when(
+    unfenced = _let(strip(content), lambda text: F.when(
         text.startswith("```"),
         F.regexp_replace(F.regexp_replace(text, rf"\A```(?:json)?{WS}*", ""), rf"{WS}*```\z", ""),
-    ).otherwise(text)
+    ).otherwise(text))
     braces = lambda t: _let(F.regexp_extract(t, r"(?s)(\{.*\})", 1), lambda b: F.when(_is_object(b), b))
     return _let(unfenced, lambda t: F.when(_is_object(t), t).otherwise(braces(t)))
 

@@ -8,6 +8,7 @@ from answerloom import constants as K
 from answerloom.functions import text as X
 from answerloom.functions.responses import extract_json_object
 from answerloom.operators.ranking import first_per_group, running_total, with_positions
+from answerloom.session import stored
 
 
 def fill_requests(
@@ -102,22 +103,25 @@ def normalize_decisions(responses: DataFrame, items: DataFrame) -> tuple[DataFra
     An unknown action or an empty answer becomes a flag; ids must name an item
     of the document; confidence is clamped; issues must be an array.  Items are
     (doc_id, question_index, question_text).
+
+    Every response is parsed once: the shaped decisions are stored, and a response
+    without decisions leaves one row of nulls, which counts as failed.
     """
     parsed = responses.select("doc_id", "chunk_no", F.from_json(extract_json_object(F.col("content")), DECISIONS)["decisions"].alias("_d"))
-    count = F.coalesce(F.size("_d"), F.lit(0))
-    failed = parsed.groupBy("doc_id").agg(F.count_if(count <= 0).alias("failed_chunks"))
-    rows = parsed.select("doc_id", "chunk_no", F.posexplode("_d").alias("at", "_raw"))
+    # the inner explode would parse each response again in a filter on the array's size
+    rows = parsed.select("doc_id", "chunk_no", F.posexplode_outer("_d").alias("at", "_raw"))
     # one parse; nested values come as their JSON text, other elements as nulls
     fields = rows.select("doc_id", "chunk_no", "at", F.from_json("_raw", DECISION).alias("f")).select("doc_id", "chunk_no", "at", "f.*")
     wanted = F.lower(X.strip(F.coalesce("action", F.lit("flag"))))
     answer = X.strip(F.coalesce("answer", F.lit("")))
     acts = F.when((wanted == "answer") & (answer != ""), "answer").otherwise("flag")
-    shaped = fields.select(
+    shaped = stored(fields.select(
         "doc_id", "chunk_no", "at", "id", _decision_index(F.col("id")).alias("question_index"),
         acts.alias("action"), F.when(acts == "answer", answer).alias("answer"), X.coerce_confidence(F.col("confidence")).alias("confidence"),
         F.coalesce("reason", F.lit("")).alias("reason"),
         F.coalesce(F.from_json("issues", "array<string>"), F.array().cast("array<string>")).alias("issues"),
-    )
+    ))
+    failed = shaped.groupBy("doc_id").agg(F.count_if(F.col("at").isNull()).alias("failed_chunks"))
     decisions = shaped.join(items.select("doc_id", "question_index", F.col("question_text").alias("question")), ["doc_id", "question_index"])
     return decisions, failed
 
