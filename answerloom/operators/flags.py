@@ -12,7 +12,7 @@ from answerloom.operators.knowledge import exact_upsert
 from answerloom.operators.matching import live
 from answerloom.operators.ranking import with_positions
 from answerloom.operators.skew import lookup
-from answerloom.session import durable
+from answerloom.session import durable, stored
 
 
 def keyed(flags: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def resolve_flags(
     written to the knowledge base by wording only, which also takes over the
     wording, and the category's expert is assigned.
     """
-    marked = keyed(flags)
+    marked = stored(keyed(flags))  # read by every join below, and their searches for hot keys
     wanted = resolutions.join(marked.select(F.col("id").alias("flag_id"), "question_key", "job_id"), "flag_id", "left")
     open_ = marked.filter(~F.col("resolved"))
     group_sizes = open_.groupBy("question_key").agg(F.count(F.lit(1)).alias("occurrence_count"))
