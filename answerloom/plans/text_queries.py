@@ -11,7 +11,7 @@ from answerloom.plans import checks as C
 from answerloom.plans.extraction_queries import delimited_files
 from answerloom.plans.registry import query
 from answerloom.plans.standins import raw, table
-from answerloom.session import durable, scratch_folder
+from answerloom.session import durable, freeing, scratch_folder
 from answerloom.sources import backup, grids, records
 
 COUNT = lambda e: f"CAST({e} AS BIGINT)"
@@ -243,9 +243,10 @@ def read_qa_csv(spark, d):
     path = scratch_folder(spark)
     docs = raw(spark, d, "documents").select(F.col("source").alias("category"), F.col("text").alias("question"), F.col("lang").alias("answer"))
     rows = table(spark, d, "records").select("category", "question", "answer").unionByName(docs)
-    rows.select(F.col("category").alias(" Category"), F.col("question").alias("QUESTION"), F.col("answer").alias("Answer ")).write.csv(
-        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-    )
+    with freeing(spark):
+        rows.select(F.col("category").alias(" Category"), F.col("question").alias("QUESTION"), F.col("answer").alias("Answer ")).write.csv(
+            path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        )
     return records.read_qa_csv(spark, path).groupBy("category", "question", "answer").agg(F.count(F.lit(1)).alias("n"))
 
 

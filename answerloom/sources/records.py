@@ -5,14 +5,17 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator
-from itertools import islice
+from itertools import groupby, islice
+from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from answerloom.functions import text as X
 from answerloom.operators.ranking import running_total
 from answerloom.operators.skew import lookup
+from answerloom.session import as_rows, settings
 
 FIELDS = ("category", "question", "answer")
 ROWS_PER_BATCH = 10_000
@@ -29,7 +32,8 @@ def parse_qa_csv(files: DataFrame) -> DataFrame:
     columns of one name the last counts.  Missing columns, cells that a short row
     lacks, and empty values are null; surplus cells of a long row are passed
     over.  A file that cannot be decoded or parsed gives one more row with its
-    error, after the records read before it.  A file is one task's work.
+    error, after the records read before it.  A file is one task's work and is held
+    as a whole; ``read_qa_csv`` reads files line by line.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,38 +42,104 @@ def parse_qa_csv(files: DataFrame) -> DataFrame:
             for source, content in zip(batch["source_file"], batch["content"]):
                 if content is None:
                     continue
-                last = 0
                 try:
-                    reader = csv.DictReader(io.StringIO(bytes(content).decode("utf-8-sig"), newline=""))
-                    place = {_plain(n or ""): n for n in reader.fieldnames or ()}
-                    rows = enumerate(([row.get(place[f]) or None if f in place else None for f in FIELDS] for row in reader), 1)
-                    while part := list(islice(rows, ROWS_PER_BATCH)):
-                        last = part[-1][0]
-                        yield _records([(source, n, *values, None) for n, values in part])
-                except (UnicodeDecodeError, csv.Error) as problem:
-                    yield _records([(source, last + 1, None, None, None, str(problem))])
+                    text = bytes(content).decode("utf-8-sig")
+                except UnicodeDecodeError as problem:
+                    yield _records([(source, 1, None, None, None, str(problem))])
+                else:
+                    yield from _parsed(source, io.StringIO(text, newline=""))
 
     kind = files.schema["source_file"].dataType.simpleString()
     texts = ", ".join(f"{f} string" for f in (*FIELDS, "error"))
     return files.select("source_file", F.col("content").cast("binary").alias("content")).mapInPandas(run, f"source_file {kind}, row_no long, {texts}")
 
 
+def _parsed(source: str, lines: Iterator[str]) -> Iterator[pd.DataFrame]:
+    last = 0
+    try:
+        reader = csv.DictReader(lines)
+        place = {_plain(n or ""): n for n in reader.fieldnames or ()}
+        rows = enumerate(([row.get(place[f]) or None if f in place else None for f in FIELDS] for row in reader), 1)
+        while part := list(islice(rows, ROWS_PER_BATCH)):
+            last = part[-1][0]
+            yield _records([(source, n, *values, None) for n, values in part])
+    except csv.Error as problem:
+        yield _records([(source, last + 1, None, None, None, str(problem))])
+
+
 def _records(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["source_file", "row_no", *FIELDS, "error"])
 
 
+def _parse_lines(lines: DataFrame) -> DataFrame:
+    """As ``parse_qa_csv``, of (source_file, size, line, bad) with a file's lines one after another; no file is held as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(2**31 - 1)
+        schema = pa.schema([("source_file", pa.string()), ("row_no", pa.int64()), *((f, pa.string()) for f in (*FIELDS, "error"))])
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(4))))
+        for (source, size, bad), own in groupby(rows, key=lambda r: (r[0], r[1], r[3])):
+            source, texts = unquote(source), _whole_lines((r[2] for r in own), size)
+            found = [_undecoded(source, texts)] if bad else _parsed(source, (part for line in texts for part in _universal(line.decode("utf-8"))))
+            for part in found:
+                yield pa.RecordBatch.from_pandas(part, schema=schema, preserve_index=False)
+
+    texts = ", ".join(f"{f} string" for f in (*FIELDS, "error"))
+    return lines.select("source_file", "size", "line", "bad").mapInArrow(run, f"source_file string, row_no long, {texts}")
+
+
+def _whole_lines(lines: Iterator[bytes], size: int) -> Iterator[bytes]:
+    """Lines with their line breaks; the file's size (a mark at its start is not counted) tells whether the last has one."""
+    held, passed = None, 0
+    for line in lines:
+        if held is not None:
+            yield held + b"\n"
+            passed += len(held) + 1
+        held = line
+    if held is not None:
+        yield held + b"\n" if size - passed - len(held) in (1, 4) else held
+
+
+def _universal(line: str) -> Iterator[str]:
+    return io.StringIO(line, newline="") if "\r" in line else iter((line,))
+
+
+def _undecoded(source: str, lines: Iterator[bytes]) -> pd.DataFrame:
+    """The error of a file that cannot be decoded, with its place in the file."""
+    passed = 0
+    for line in lines:
+        try:
+            line.decode("utf-8")
+        except UnicodeDecodeError as problem:
+            low, high = problem.start + passed, problem.end + passed - 1
+            what = f"byte 0x{line[problem.start]:02x} in position {low}" if low == high else f"bytes in position {low}-{high}"
+            return _records([(source, 1, None, None, None, f"'utf-8' codec can't decode {what}: {problem.reason}")])
+        passed += len(line)
+    raise ValueError(f"{source} changed while it was read")
+
+
 def read_qa_csv(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, row_no, category, question, answer) of the CSV files under a path that can be read."""
-    return parse_qa_csv(_binary(spark, path)).filter("error IS NULL").drop("error")
+    return _parse_lines(_file_lines(spark, path)).filter("error IS NULL").drop("error")
 
 
 def qa_csv_errors(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, row_no, error) of the CSV files under a path that cannot be read to their end."""
-    return parse_qa_csv(_binary(spark, path)).filter("error IS NOT NULL").select("source_file", "row_no", "error")
+    return _parse_lines(_file_lines(spark, path)).filter("error IS NOT NULL").select("source_file", "row_no", "error")
 
 
-def _binary(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), "content")
+def _file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, size, line, bad): the lines of the files under a path in their order, a partition for each file.
+
+    ``bad`` marks the files with a line that is no UTF-8; only their names reach the driver.
+    """
+    read = spark.read.option("lineSep", "\n").text(path)
+    name = F.col("_metadata.file_path").alias("source_file")
+    broken = read.filter(~F.is_valid_utf8("value")).select(name).distinct().withColumn("bad", F.lit(True))
+    # files are read unsplit, and none follows another in a partition
+    with settings(spark, spark__sql__files__maxPartitionBytes=str(1 << 50), spark__sql__files__openCostInBytes=str(1 << 40)):
+        lines = as_rows(read.select(name, F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line")))
+    return lines.join(F.broadcast(broken), "source_file", "left").select("source_file", "size", "line", F.coalesce("bad", F.lit(False)).alias("bad"))
 
 
 def numbered(records: DataFrame) -> DataFrame:
