@@ -77,30 +77,33 @@ def _longest_wins(question: Column, stored: Column) -> Column:
     return F.when(longer, question).otherwise(stored)
 
 
-def _apply_updates(kb: DataFrame, updates: DataFrame, now) -> DataFrame:
-    """Fold ordered updates (target_id, tier, row_no, question, answer, category, embedding)
-    into the entries they hit: last values win, the longest wording stays."""
+def _apply_updates(kb: DataFrame, updates: DataFrame, now, embed) -> DataFrame:
+    """Fold ordered updates (target_id, tier, row_no, question, answer, category)
+    into the entries they hit: last values win, the longest wording stays.
+
+    The vector is that of the last wording, which is embedded once it is known.
+    """
     order = F.struct("tier", "row_no")
     longest = F.struct(
         F.char_length(X.strip(F.col("question"))).alias("n"), (-F.col("tier")).alias("t"), (-F.col("row_no")).alias("r")
     )
     folded = updates.groupBy("target_id").agg(
-        F.max_by(F.struct("answer", "category", "embedding"), order).alias("last"),
+        F.max_by(F.struct("answer", "category", "question"), order).alias("last"),
         F.max_by("question", longest).alias("longest"),
-    )
+    ).withColumn("_embedding", embed("last.question").cast("array<float>"))
     hit = F.col("target_id").isNotNull()
     last = lambda name: F.when(hit, F.col(f"last.{name}")).otherwise(F.col(name)).alias(name)
     return kb.join(folded, kb["id"] == folded["target_id"], "left").select(
         "id", last("category"),
         F.when(hit, _longest_wins(F.col("longest"), F.col("question"))).otherwise(F.col("question")).alias("question"),
-        last("answer"), last("embedding"), "created_at",
+        last("answer"), F.when(hit, F.col("_embedding")).otherwise(F.col("embedding")).alias("embedding"), "created_at",
         F.when(hit, timestamp(now)).otherwise(F.col("updated_at")).alias("updated_at"), "deleted_at",
     )
 
 
-def _inserted(kb: DataFrame, fresh: DataFrame, now) -> DataFrame:
+def _inserted(kb: DataFrame, fresh: DataFrame, now, embed, worded: str = "question") -> DataFrame:
     return _new_ids(kb, fresh, "row_no").select(
-        "id", "category", "question", "answer", F.col("embedding").cast("array<float>").alias("embedding"),
+        "id", "category", "question", "answer", embed(worded).cast("array<float>").alias("embedding"),
         timestamp(now).alias("created_at"), timestamp(now).alias("updated_at"), F.lit(None).cast("timestamp_ntz").alias("deleted_at"),
     )
 
@@ -111,15 +114,18 @@ def one_order(records: DataFrame) -> DataFrame:
 
 
 def _classified(kb: DataFrame, records: DataFrame, stored_key: Column, pick, threshold: float, embed) -> DataFrame:
-    """Records with target_id and tier: 0 exact, 1 semantic, null for new ones."""
+    """Records with target_id and tier: 0 exact, 1 semantic, null for new ones.
+
+    Only wordings without an exact entry are embedded, each once.
+    """
     keyed = records.withColumn("_key", X.exact_key(F.col("question"))).join(
         _exact_targets(kb, stored_key, pick), "_key", "left"
-    ).withColumn("embedding", embed("question"))
+    ).select("row_no", "category", "question", "answer", "target_id")
     keyed = durable(keyed)
-    rest = keyed.filter(F.col("target_id").isNull()).select(F.col("question").alias("question_text"), "embedding")
-    near = top_by_wording(rest, kb, 1, threshold).select(F.col("question_text").alias("question"), F.col("kb_id").alias("near_id"))
-    return keyed.join(near, "question", "left").select(
-        "row_no", "category", "question", "answer", "embedding",
+    rest = keyed.filter(F.col("target_id").isNull()).select(F.col("question").alias("question_text"))
+    near = top_by_wording(rest, kb, 1, threshold, embed, digests=True).select("wording", F.col("kb_id").alias("near_id"))
+    return keyed.withColumn("wording", X.digest(F.col("question"))).join(near, "wording", "left").select(
+        "row_no", "category", "question", "answer",
         F.coalesce("target_id", "near_id").alias("target_id"),
         F.when(F.col("target_id").isNotNull(), 0).when(F.col("near_id").isNotNull(), 1).alias("tier"),
     )
@@ -143,12 +149,12 @@ def upsert_kb(
         .groupBy(X.exact_key(F.col("question")).alias("_wording"))
         .agg(
             F.min("row_no").alias("row_no"), F.max_by("question", longest).alias("question"),
-            F.max_by(F.struct("answer", "category", "embedding"), "row_no").alias("last"),
+            F.max_by(F.struct("answer", "category", F.col("question").alias("_worded")), "row_no").alias("last"),
         )
         .select("row_no", "question", "last.*")
     )
-    added = durable(_inserted(kb, fresh, now))
-    after = _apply_updates(kb, updates, now).unionByName(added)
+    added = _inserted(kb, durable(fresh), now, embed, "_worded")
+    after = _apply_updates(kb, updates, now, embed).unionByName(added)
     before = kb.select(F.col("id").alias("target_id"), F.col("answer").alias("_before"))
     updated = audit_rows(
         updates.join(before, "target_id"), now, "kb_update", "qa_pair", F.col("target_id"),
@@ -181,7 +187,7 @@ def import_kb(
     rows = durable(_classified(kb, first, X.exact_key(F.col("question")), F.max, threshold, embed))
     updates = rows.filter(F.col("target_id").isNotNull())
     fresh = rows.filter(F.col("target_id").isNull())
-    after = _apply_updates(kb, updates, now).unionByName(_inserted(kb, fresh, now))
+    after = _apply_updates(kb, updates, now, embed).unionByName(_inserted(kb, fresh, now, embed))
     counts = rows.agg(
         F.count_if(F.col("tier").isNull()).alias("imported"),
         F.count_if(F.col("tier").isNotNull()).alias("updated"),
